@@ -174,7 +174,7 @@ def _spans(rows: list[tuple], hit: np.ndarray, owner: np.ndarray, place: np.ndar
     new = np.ones(len(hit), bool)
     new[1:] = (np.diff(hit) != 1) | (np.diff(owner) != 0)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(hit)) - 1
+    last = np.append(first[1:], len(hit))[: len(first)] - 1
     o = owner[first]
     low = np.array([r[3] for r in rows], np.int64)[o]
     return pa.RecordBatch.from_arrays([pa.array([rows[k][1] for k in o], pa.int64()), pa.array([rows[k][2] for k in o], pa.int64()), pa.array(low + place[first]), pa.array(low + place[last] + length)], schema=SPAN)
