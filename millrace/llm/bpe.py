@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import pickle
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import take, tune
 
 #: Characters of text in a block; words are distinct within a block before they are shuffled.
-BLOCK = 4_000_000
+BLOCK = 6_000_000
 
 
 class Vocabulary:
@@ -90,6 +91,42 @@ def _unpack(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
+#: Ranks below this are symbols of their own; larger ones are a symbol for their bit length and the bits after the first.
+OWN = 240
+
+
+def _squeeze(x: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(x)
+
+
+def _loose(x: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
+def _pack_ranks(x: np.ndarray) -> list[bytes]:
+    """Numbers of which small ones are frequent: symbols, then for each bit length the rest of its numbers."""
+    bits = np.zeros(len(x), np.int64)
+    large = x >= OWN
+    bits[large] = np.floor(np.log2(x[large])).astype(np.int64)
+    out = [_squeeze(np.where(large, OWN + bits - 7, x).astype(np.uint8).tobytes())]
+    for k in range(7, 23):
+        out.append(_pack(x[bits == k] - (1 << k)) if (bits == k).any() else b"")
+    return out
+
+
+def _unpack_ranks(parts: list[bytes]) -> np.ndarray:
+    symbol = _loose(parts[0], np.uint8).astype(np.int64)
+    out = symbol.copy()
+    for k, part in zip(range(7, 23), parts[1:]):
+        if part:
+            out[symbol == OWN + k - 7] = _unpack(part).astype(np.int64) + (1 << k)
+    return out
+
+
 ROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("rows", pa.binary()), ("data", pa.binary())])
 
 
@@ -102,16 +139,14 @@ def _explode(sent, width: int):
 
         def block(keys, texts):
             nonlocal number
-            import zstandard
-
             ids: dict[str, int] = {}
             positions, counts = [], []
             for t in texts:
                 found = pattern.findall(t)
-                positions += [ids.setdefault(w, len(ids)) for w in found]
+                positions.append(np.array([ids.setdefault(w, len(ids)) for w in found], np.int32))
                 counts.append(len(found))
             # words by frequency, so that small numbers are frequent ones
-            at = np.array(positions, np.int64)
+            at = np.concatenate(positions)
             order = np.argsort(-np.bincount(at, minlength=len(ids)), kind="stable")
             rank = np.empty(len(ids), np.int64)
             rank[order] = np.arange(len(ids))
@@ -125,11 +160,10 @@ def _explode(sent, width: int):
                     out[c].append(v)
 
             head = np.array([[0 if k is None else k for k in keys], [k is not None for k in keys], counts], np.int64).tobytes()
-            row(number % width, number, -1, head, _pack(rank[at]))
+            row(number % width, number, -1, pickle.dumps((head, _pack(part))), pickle.dumps(_pack_ranks(rank[at])))
             for p in np.unique(part):
                 mine = np.flatnonzero(part == p)
-                blob = zstandard.ZstdCompressor(level=3).compress(b"".join(raw[i] for i in mine))
-                row(int(p), number, int(p), _pack(np.concatenate((mine, [len(raw[i]) for i in mine]))), blob)
+                row(int(p), number, int(p), _pack(np.array([len(raw[i]) for i in mine])), _squeeze(b"".join(raw[i] for i in mine)))
             number += 1
             return pa.RecordBatch.from_pydict(out, schema=ROW)
 
@@ -154,26 +188,22 @@ def _encode(sent):
         import zstandard
 
         ranks = sent.value.parts()[1]
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             out = []
             for kind, rows, data in zip(batch.column("kind").to_pylist(), batch.column("rows").to_pylist(), batch.column("data").to_pylist()):
                 if kind >= 0:
-                    where = _unpack(rows).astype(np.int64)
-                    lengths = where[len(where) // 2 :]
-                    ends = np.cumsum(lengths).tolist()
                     joined = zstandard.ZstdDecompressor().decompress(data)
                     ids, begin = [], 0
-                    for end in ends:
+                    for end in np.cumsum(_unpack(rows)).tolist():
                         word = joined[begin:end]
                         begin = end
                         got = known.get(word)
                         if got is None:
-                            got = known[word] = merge(word, ranks)
+                            got = known[word] = np.array(merge(word, ranks), np.uint32).tobytes()
                         ids.append(got)
-                    n = np.array([len(x) for x in ids])
-                    rows = _pack(np.concatenate((where[: len(lengths)], n)))
-                    data = _pack(np.array([i for x in ids for i in x]))
+                    rows = _pack(np.array([len(x) // 4 for x in ids]))
+                    data = _pack(np.frombuffer(b"".join(ids), np.uint32))
                 out.append((rows, data))
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("block"), batch.column("kind"), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], schema=ROW)
 
@@ -183,14 +213,15 @@ def _encode(sent):
 def _reassemble(table: pa.Table) -> pa.Table:
     kinds, rows, data = (table.column(c).to_pylist() for c in ("kind", "rows", "data"))
     k = kinds.index(-1)
-    keys, valid, counts = np.frombuffer(rows[k], np.int64).reshape(3, -1)
-    at = _unpack(data[k]).astype(np.int64)
+    head, part = pickle.loads(rows[k])
+    keys, valid, counts = np.frombuffer(head, np.int64).reshape(3, -1)
+    part = _unpack(part)
+    at = _unpack_ranks(pickle.loads(data[k]))
     words, lengths, ids = [], [], []
     for kind, r, d in zip(kinds, rows, data):
         if kind >= 0:
-            where = _unpack(r).astype(np.int64)
-            words.append(where[: len(where) // 2])
-            lengths.append(where[len(where) // 2 :])
+            words.append(np.flatnonzero(part == kind))
+            lengths.append(_unpack(r).astype(np.int64))
             ids.append(_unpack(d))
     none = np.empty(0, np.int64)
     word, length, pool = (np.concatenate(x) if x else none for x in (words, lengths, ids))
