@@ -21,8 +21,8 @@ def split(spark: SparkSession, path: str, key_value: str = "\n", entries: str =
         parts = F.split_part("value", F.lit(key_value), F.lit(1))
         rest = F.substring("value", F.length(parts) + F.lit(len(key_value) + 1), F.length("value"))
         return rows.select(parts.alias("key"), rest.alias("value"), "place")
-    whole = spark.read.option("wholetext", True).text(path).select(F.split("value", F.lit("\\Q" + entries + "\\E")).alias("p"), F.col("_metadata.file_path").alias("file"))
-    pairs = whole.select("file", F.posexplode(F.expr("transform(sequence(0, greatest(size(p) div 2 - 1, 0)), i -> struct(p[2*i] as key, get(p, 2*i+1) as value))")).alias("n", "e"))
+    whole = spark.read.text(path, wholetext=True).select(F.split("value", F.lit("\\Q" + entries + "\\E")).alias("p"), F.col("_metadata.file_path").alias("file"))
+    pairs = whole.select("file", F.posexplode(F.expr("transform(sequence(0, size(p) div 2), i -> struct(get(p, cast(2 * i as int)) as key, get(p, cast(2 * i + 1 as int)) as value))")).alias("n", "e"))
     return pairs.where("e.value is not null").select("e.key", "e.value", F.struct("file", F.lit(0).cast("long").alias("block"), F.col("n").cast("long")).alias("place"))
 
 

@@ -122,7 +122,7 @@ def _parts(fields: list[tuple[str, Value]], mask: Mask, extend: bool) -> list[tu
             raise MaskProblem(f"the mask is too long: {mask}")
         name, value = fields[k]
         k += 1
-        if part.action != "skip":
+        if part.action != "skip" and not _empties(value.mn, part):
             out.append((name, apply(value, part, extend)))
     if extend and mask.parts and k < len(fields):
         last = mask.parts[-1]
@@ -131,6 +131,12 @@ def _parts(fields: list[tuple[str, Value]], mask: Mask, extend: bool) -> list[tu
     return out
 
 
+def _empties(m: Maybe, mask: Mask) -> bool:
+    """Does a mask leave nothing of a tuple or record?"""
+    t = develop(m.typ)
+    return mask.action == "recurse" and t.kind in ("tup", "rec") and all(p.action == "skip" or p.action == "recurse" and i < len(t.items) and _empties(t.items[i], p) for i, p in enumerate(mask.parts))
+
+
 def _collect(made: list[tuple[str, Value]], t: Type, nullable: bool, whole) -> Value:
     if not made:
         raise MaskProblem("nothing is left")
