@@ -83,25 +83,41 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM, piece: int = PI
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def suffix_order(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first ``length`` bytes (ties by place), and the rank of those bytes for each place.
+def suffix_ranks(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of all suffixes by their first ``length`` bytes (the number of suffixes before the first equal one), and
+    the places whose bytes occur at another place too.
 
-    Prefix doubling: ranks of 1, 2, 4, ... bytes, and one last step to exactly ``length``.
+    Prefix doubling: ranks by 8, 16, 32, ... bytes, and one last step to exactly ``length``. Suffixes that are alone
+    already keep their rank. Ranks of suffixes shorter than ``length`` are not meaningful.
     """
     n = len(data)
-    rank = data.astype(np.int64) + 1
-    have = 1
-    while have < length:
+    have = min(8, length)
+    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for k in range(have):
+        key = key << np.uint64(8) | padded[k : k + n]
+    order = np.argsort(key)
+    first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]) != 0)
+    size = np.diff(np.append(first, n))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(first, size)
+    live = order[np.repeat(size, size) > 1]
+    while have < length and len(live):
         step = min(have, length - have)
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - step)] = rank[step:]
-        key = rank * (n + 257) + second
-        order = np.argsort(key, kind="stable")
-        new = np.cumsum(np.diff(key[order], prepend=key[order[:1]] if n else 0) != 0)
-        rank = np.empty(n, np.int64)
-        rank[order] = new + 1
+        after = live + step
+        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        key = rank[live] * (n + 1) + second
+        by = np.argsort(key)
+        live, key = live[by], key[by]
+        old = rank[live]
+        at = np.arange(len(live))
+        start = np.maximum.accumulate(np.where(np.diff(old, prepend=-1) != 0, at, 0))
+        first = np.flatnonzero(np.diff(key, prepend=-1) != 0)
+        size = np.diff(np.append(first, len(live)))
+        rank[live] = old + np.repeat(first, size) - start
+        live = live[np.repeat(size, size) > 1]
         have += step
-    return np.argsort(rank, kind="stable"), rank
+    return rank, live
 
 
 def previous_factors(data: np.ndarray, length: int = LENGTH, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -112,10 +128,11 @@ def previous_factors(data: np.ndarray, length: int = LENGTH, starts: np.ndarray
     smaller place is the neighbour before, if it agrees, and there is no next smaller one; likewise for later ones.
     Places fewer than ``length`` bytes from the end have none, nor have places outside the mask ``starts``.
     """
-    order, rank = suffix_order(data, length)
-    order = order[order <= len(data) - length]
+    rank, live = suffix_ranks(data, length)
+    live = live[live <= len(data) - length]
     if starts is not None:
-        order = order[starts[order]]
+        live = live[starts[live]]
+    order = live[np.argsort(rank[live] * (len(data) + 1) + live)]
     same = np.diff(rank[order]) == 0
     earlier, later = np.full(len(data), -1), np.full(len(data), -1)
     earlier[order[1:][same]] = order[:-1][same]
