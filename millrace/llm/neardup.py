@@ -15,8 +15,10 @@ SLOTS = BANDS * ROWS
 SIMILAR = 0.8
 #: Up to this many members, a bucket emits all its pairs: at most SMALL - 1 for each member.
 SMALL = 12
-#: An estimate from SLOTS slots lies this far below the truth with a probability under 1e-7 (five deviations at 0.8).
-SLACK = 0.15
+#: An estimate from SLOTS slots lies this far below the truth with a probability of 3e-5 (four deviations at 0.8).
+SLACK = 0.1
+#: Members of a block of a large bucket: two blocks meet in one task.
+BLOCK = 1024
 
 
 def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: int, slots: int = SLOTS) -> np.ndarray:
@@ -132,6 +134,77 @@ def _verify(similar: float):
     return run
 
 
+def _cross(similar: float):
+    """Links between members of different classes in one pair of blocks of a bucket, as a spanning forest.
+
+    Pairs are told apart by their signatures first; a pair is met in the first band that it shares. Pairs that the
+    links found here have joined already are not verified again.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        band, i, j = (table.column(c)[0].as_py() for c in ("band", "i", "j"))
+        block = table.column("block").to_numpy()
+        th, of = table.column("th").to_pylist(), table.column("c").to_pylist()
+        number = {c: k for k, c in enumerate(dict.fromkeys(of))}
+        code = np.array([number[c] for c in of])
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
+        size = table.column("size").to_numpy()
+        bags_of = table.column("bag")
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        parent = list(range(len(number)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        a, b = [], []
+        for x in left:
+            others = right[right > x] if i == j else right
+            others = others[code[others] != code[x]]
+            fit = np.minimum(size[x], size[others]) >= similar * np.maximum(size[x], size[others])
+            others = others[fit]
+            if not len(others):
+                continue
+            same = sig[others] == sig[x]
+            near = same.mean(axis=1) >= similar - SLACK
+            shared = same[near].reshape(-1, BANDS, ROWS).all(axis=2)
+            mine = None
+            for y in others[near][shared.argmax(axis=1) == band]:
+                p, q = root(code[x]), root(code[y])
+                if p == q:
+                    continue
+                if mine is None:
+                    mine = np.frombuffer(bags_of[int(x)].as_py(), np.uint64)
+                if overlap(mine, np.frombuffer(bags_of[int(y)].as_py(), np.uint64)) >= similar:
+                    parent[q] = p
+                    a.append(th[x])
+                    b.append(th[y])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def _between(large: DataFrame, classes: DataFrame, sigs: DataFrame, texts: DataFrame, similar: float) -> DataFrame | None:
+    """Links between the classes that large buckets still hold, or None where none holds two.
+
+    A bucket of n members is cut into blocks of about 1024 by hash, and each pair of blocks is one group: a member
+    goes to as many groups as there are blocks. No pair leaves its group but as a link.
+    """
+    named = large.join(classes.withColumnRenamed("node", "th"), "th", "left").withColumn("c", F.coalesce("component", "th")).drop("component")
+    split = named.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 != c1")
+    met = saved(named.join(split.select("band", "key", "m"), ["band", "key"]), "open")
+    if met.isEmpty():
+        return None
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    met = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", "th", "c", "size", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    needed = met.select("th").distinct()
+    kept = texts.join(needed, "th", "left_semi").dropDuplicates(["th"]).mapInArrow(_shingled, "th binary, bag binary").join(sigs, "th")
+    groups = met.join(saved(kept, "bags"), "th").groupBy("band", "key", "i", "j")
+    return saved(groups.applyInArrow(_cross(similar), "a binary, b binary"), "links")
+
+
 def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """Those pairs of text keys (a, b) whose shingle multisets overlap enough."""
     left = sigs.select(F.col("th").alias("a"), "sig")
@@ -152,9 +225,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     start, so that groups of exact copies cost nothing further. class_id is the smallest doc_id of the class (null
     when all are null); kept marks the row that has it (among null ids, the smallest text hash).
 
-    A bucket of up to 12 texts gives all its pairs. A larger one gives a star around its smallest text, then, where
-    its members are still in several classes, a star around another member, and at last every pair between classes:
-    each true link in a bucket is tested or lies within a class already. 40 bands of 6 rows miss a pair of similarity
+    A bucket of up to 12 texts gives all its pairs. A larger one gives a star around its smallest text; where
+    its members are then still in several classes, its members meet in blocks and every pair between classes is told
+    by signatures and, if near, verified: each true link in a bucket is tested or lies within a class already. 40 bands of 6 rows miss a pair of similarity
     0.8 with a probability of 5e-6; candidates are verified exactly.
 
     Null texts link with nothing, each its own class. Texts without a word link only when equal. Texts of one to four
@@ -180,22 +253,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = saved(components(links), "classes")
 
     large = members.where(f"n > {SMALL}").select("band", "key", "th", "size")
-    for last in (False, True):
-        named = large.join(classes.withColumnRenamed("node", "th"), "th", "left").withColumn("c", F.coalesce("component", "th")).drop("component")
-        split = named.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("th", "band"), "th", "c")).alias("m")).where("c0 != c1")
-        open_ = saved(named.join(split.select("band", "key", F.col("m.th").alias("b"), F.col("m.c").alias("c2")), ["band", "key"]), "open")
-        if open_.isEmpty():
-            break
-        if last:
-            inner = open_.select("band", "key", F.col("th").alias("b"), F.col("c").alias("c2"), F.col("size").alias("size2"))
-            pairs = open_.drop("b", "c2").join(inner, ["band", "key"]).where("c < c2").where(_fits("size", "size2", similar))
-        else:
-            pairs = open_.where("c != c2")
-        pairs = pairs.select(F.least("th", "b").alias("a"), F.greatest("th", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        more = _links(pairs, sigs, texts, similar)
-        tested, links = tested.union(pairs), links.union(more)
-        classes = saved(components(links), "classes")
+    more = _between(large, classes, sigs, texts, similar)
+    if more is not None:
+        classes = saved(components(links.union(more)), "classes")
 
     named = slim.join(classes.withColumnRenamed("node", "th"), "th", "left").withColumn("c", F.coalesce("component", "th")).drop("component")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
