@@ -11,6 +11,7 @@ from .common import GOLDEN, bags, flat, lists, mix, saved, shingles, spans, take
 from .components import components
 
 BANDS, ROWS = 40, 6
+NEVER = np.int64(1 << 62)
 SLOTS = BANDS * ROWS
 SIMILAR = 0.8
 #: Up to this many members, a bucket emits all its pairs: at most SMALL - 1 for each member.
@@ -28,9 +29,12 @@ def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: i
     process of the interval's width as rate, seeded by element and interval. A point has a time, a slot and, by
     halving the interval again and again down to unit weights, a place on the axis; it counts where the place lies
     below the weight. Two rows share a slot's first point with the probability of their weighted Jaccard similarity.
-    A process stops when it is later than every slot of its row. Rows without elements keep infinite times.
+    A process stops when it is later than every slot of its row. Rows without elements keep endless times.
+
+    Times are whole numbers of 2**-32, so that sums do not depend on how steps are batched: the same element makes
+    the same times in every task.
     """
-    sig = np.full((rows, slots), np.inf)
+    sig = np.full((rows, slots), NEVER)
     parts, low = [], 0
     at = np.arange(len(element))
     while len(at):
@@ -44,12 +48,13 @@ def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: i
     with np.errstate(over="ignore"):
         seed = mix(element[who].astype(np.uint64) + mix(lo.astype(np.uint64) + np.uint64(1)) * GOLDEN)
         limit, owner = weight[who], row[who]
-        time, step = np.zeros(len(who)), 0
+        time, step = np.zeros(len(who), np.int64), 0
         while len(owner):
             many = int(min(64, max(1, 400_000 // len(owner))))
             state = mix(seed[:, None] + np.arange(step + 1, step + many + 1, dtype=np.uint64) * GOLDEN)
             step += many
-            t = time[:, None] + np.cumsum(-np.log(((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53), axis=1) / width[:, None]
+            wait = -np.log(((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width[:, None]
+            t = time[:, None] + np.cumsum(np.floor(wait * 2.0**32).astype(np.int64) + 1, axis=1)
             slot = mix(state ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(slots)
             good = np.ones(t.shape, bool)
             part = np.flatnonzero(lo + width > limit)

@@ -92,6 +92,17 @@ def test_signatures_are_unbiased():
         assert abs((sig[0] == sig[1]).mean() - true) < 0.04
 
 
+def test_signatures_do_not_depend_on_batches():
+    rng = np.random.default_rng(6)
+    e = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    w = rng.integers(1, 9, 5000)
+    row = np.sort(rng.integers(0, 60, 5000))
+    whole = neardup.signatures(row, e, w, 60)
+    for r in range(60):
+        at = row == r
+        assert (neardup.signatures(np.zeros(at.sum(), int), e[at], w[at], 1)[0] == whole[r]).all()
+
+
 def test_overlap_and_bags():
     w = np.array([1, 2, 3, 4, 5, 6, 1, 2, 3, 4, 5, 6, 7, 8], np.int64)
     h, row = shingles(w, np.array([0, 12, 14]))
