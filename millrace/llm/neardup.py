@@ -20,6 +20,8 @@ SMALL = 12
 SLACK = 0.1
 #: Members of a block of a large bucket: two blocks meet in one task.
 BLOCK = 1024
+#: Text keys that a broadcast may hold (8 MB of keys).
+KEYS = 500_000
 
 
 def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: int, slots: int = SLOTS) -> np.ndarray:
@@ -205,19 +207,31 @@ def _between(large: DataFrame, classes: DataFrame, sigs: DataFrame, texts: DataF
     met = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", "th", "c", "size", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     needed = met.select("th").distinct()
-    kept = texts.join(needed, "th", "left_semi").dropDuplicates(["th"]).mapInArrow(_shingled, "th binary, bag binary").join(sigs, "th")
+    kept = _bags(texts, needed).join(sigs, "th")
     groups = met.join(saved(kept, "bags"), "th").groupBy("band", "key", "i", "j")
     return saved(groups.applyInArrow(_cross(similar), "a binary, b binary"), "links")
 
 
+def _bags(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """Sorted shingles of the texts whose keys are needed: columns th, bag.
+
+    The keys are counted; up to KEYS of them (16 bytes each) are sent to all tasks, more are met by a shuffle of the
+    texts.
+    """
+    needed = saved(needed, "needed")
+    if needed.count() <= KEYS:
+        needed = F.broadcast(needed)
+    met = texts.join(needed, "th", "left_semi").dropDuplicates(["th"])
+    return met.select("th", word_hashes(F.col("text")).alias("hashes")).mapInArrow(_shingled, "th binary, bag binary")
+
+
 def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """Those pairs of text keys (a, b) whose shingle multisets overlap enough."""
     left = sigs.select(F.col("th").alias("a"), "sig")
     right = sigs.select(F.col("th").alias("b"), F.col("sig").alias("sig2"))
     near = saved(pairs.join(left, "a").join(right, "b").mapInArrow(_close, "a binary, b binary"), "near")
     needed = near.select(F.col("a").alias("th")).union(near.select(F.col("b").alias("th"))).distinct()
-    bag = texts.join(needed, "th", "left_semi").dropDuplicates(["th"]).mapInArrow(_shingled, "th binary, bag binary")
-    bag = saved(bag, "bags")
+    bag = saved(_bags(texts, needed), "bags")
     both = near.join(bag.select(F.col("th").alias("a"), "bag"), "a").join(bag.select(F.col("th").alias("b"), F.col("bag").alias("bag2")), "b")
     return saved(both.mapInArrow(_verify(similar), "a binary, b binary"), "links")
 
@@ -241,9 +255,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     tune(spark)
     rows = take(docs, doc_id=doc_id, text=text)
-    texts = rows.where("text is not null").select(text_key(F.col("text")).alias("th"), word_hashes(F.col("text")).alias("hashes"))
+    texts = rows.where("text is not null").select(text_key(F.col("text")).alias("th"), "text")
     slim = saved(rows.select("doc_id", text_key(F.col("text")).alias("th")), "rows")
-    signed = saved(texts.mapInArrow(_sign, "th binary, size long, bands array<long>, sig binary").dropDuplicates(["th"]), "signed")
+    signed = saved(texts.select("th", word_hashes(F.col("text")).alias("hashes")).mapInArrow(_sign, "th binary, size long, bands array<long>, sig binary").dropDuplicates(["th"]), "signed")
     sigs = signed.select("th", "sig")
 
     banded = signed.select("th", "size", F.posexplode("bands").alias("band", "key"))
