@@ -18,25 +18,41 @@ from .components import components
 COSINE = 0.98
 #: Vectors in a shard (a graph), and queries in a block.
 SHARD, BLOCK = 16_384, 4_096
-LINKS, BUILD, BEAM = 12, 48, 32
+LINKS, BUILD, BEAM = 12, 24, 32
 #: Queries of each block that are compared with the whole shard, and the share of their links that must be found.
 AUDIT, RECALL = 32, 0.999
-#: Slack for ordering by float32 products; links are decided in double precision.
+#: Slack for float32 products; links are decided in double precision.
 CLOSE = 1e-4
 
 
+def _wide(least: float) -> tuple[float, float]:
+    """The cosine of a ball, and of twice its angle (less some slack)."""
+    angle = math.acos(min(1.0, max(-1.0, least)))
+    return math.cos(angle), math.cos(min(math.pi, 2 * angle)) - 2 * CLOSE
+
+
 class Graph:
-    """A hierarchical navigable small-world graph over unit vectors, nearest by product. It can be pickled."""
+    """A hierarchical navigable small-world graph over unit vectors, nearest by product. It can be pickled.
+
+    A vector that meets a node within the angle of ``least`` becomes a member of that node's ball instead of a
+    node of its own, so a large group of near copies takes a few nodes. All that lies within the angle of a query is
+    in a ball whose node lies within twice the angle.
+    """
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, least: float = COSINE):
         self.x = x
+        self.ball, self.wide = _wide(least)
         self.level = [int(min(12, -math.log(u) / math.log(LINKS))) for u in np.random.default_rng(12).uniform(1e-12, 1, len(x))]
-        self.near: list[list[np.ndarray]] = [[np.empty(0, np.int32) for _ in range(level + 1)] for level in self.level]
+        self.near: list[list[np.ndarray] | None] = [None] * len(x)
+        self.node = np.arange(len(x))
         self.top = -1
         self.entry = -1
         for i in range(len(x)):
             self._insert(i)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "x"}
+
     def _beam(self, q: np.ndarray, enter: list[tuple[float, int]], width: int, level: int) -> list[tuple[float, int]]:
         """The ``width`` nearest that a best-first walk meets, best first."""
         seen = {i for _, i in enter}
@@ -48,7 +64,7 @@ class Graph:
             s, i = heapq.heappop(ahead)
             if -s < best[0][0] and len(best) >= width:
                 break
-            fresh = [int(j) for j in self.near[i][level] if j not in seen]
+            fresh = [j for j in self.near[i][level].tolist() if j not in seen]
             if not fresh:
                 continue
             seen.update(fresh)
@@ -65,27 +81,36 @@ class Graph:
         """Neighbours that lie nearer to the vector than to those chosen before; the nearest others fill up."""
         ids = [i for _, i in found]
         among = self.x[ids] @ self.x[ids].T
+        closest = np.full(len(ids), -2.0, np.float32)
         chosen: list[int] = []
         for k, (s, _) in enumerate(found):
             if len(chosen) >= most:
                 break
-            if not chosen or among[k, chosen].max() < s:
+            if closest[k] < s:
                 chosen.append(k)
-        # a third of the places stays for the nearest ones, so that tight groups hold together
-        rest = [k for k in range(len(found)) if k not in chosen][: max(most - len(chosen), 0)]
+                np.maximum(closest, among[k], out=closest)
+        taken = set(chosen)
+        rest = [k for k in range(len(found)) if k not in taken][: max(most - len(chosen), 0)]
         return np.array([ids[k] for k in chosen + rest], np.int32)
 
     def _insert(self, i: int) -> None:
         q, level = self.x[i], self.level[i]
         if self.entry < 0:
+            self.near[i] = [np.empty(0, np.int32) for _ in range(level + 1)]
             self.entry, self.top = i, level
             return
         enter = [(float(self.x[self.entry] @ q), self.entry)]
         for at in range(self.top, level, -1):
             enter = self._beam(q, enter, 1, at)
+        met = {}
         for at in range(min(level, self.top), -1, -1):
-            enter = self._beam(q, enter, BUILD, at)
-            mine = self._select(enter, LINKS)
+            enter = met[at] = self._beam(q, enter, BUILD, at)
+        if enter[0][0] >= self.ball:
+            self.node[i] = enter[0][1]
+            return
+        self.near[i] = [np.empty(0, np.int32) for _ in range(level + 1)]
+        for at, found in met.items():
+            mine = self._select(found, LINKS)
             self.near[i][at] = mine
             most = 2 * LINKS if at == 0 else LINKS
             for j in mine.tolist():
@@ -93,13 +118,13 @@ class Graph:
                 if len(others) > most:
                     s = self.x[others] @ self.x[j]
                     by = np.argsort(-s)
-                    others = self._select([(float(s[k]), int(others[k])) for k in by], most)
+                    others = self._select(list(zip(s[by].tolist(), others[by].tolist())), most)
                 self.near[j][at] = others
         if level > self.top:
             self.entry, self.top = i, level
 
-    def search(self, q: np.ndarray, width: int, least: float) -> list[int]:
-        """All that a beam finds with a product of ``least`` or more; a beam full of such doubles."""
+    def search(self, q: np.ndarray, width: int) -> list[int]:
+        """The nodes that a beam finds within twice the angle; a beam full of such doubles."""
         if self.entry < 0:
             return []
         enter = [(float(self.x[self.entry] @ q), self.entry)]
@@ -107,31 +132,73 @@ class Graph:
             enter = self._beam(q, enter, 1, at)
         while True:
             found = self._beam(q, enter, width, 0)
-            if len(found) < width or found[-1][0] < least:
-                return [i for s, i in found if s >= least]
+            if len(found) < width or found[-1][0] < self.wide:
+                return [i for s, i in found if s >= self.wide]
             width *= 2
 
 
-def search_block(graph: Graph, queries: np.ndarray, least: float = COSINE) -> tuple[list[np.ndarray], int]:
-    """For each query, the shard's vectors of cosine ``least`` or more (in double precision), and the beam's width.
+class Shard:
+    """The vectors of a shard in double precision, the members of each ball side by side, and their graph."""
+
+    def __init__(self, graph: Graph, units: np.ndarray, least: float = COSINE):
+        graph.x = units.astype(np.float32)
+        self.graph, self.least = graph, least
+        self.order = np.argsort(graph.node, kind="stable")
+        self.x = units[self.order]
+        of = graph.node[self.order]
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, int)
+        self.span = {int(of[b]): (int(b), int(e)) for b, e in zip(first, np.append(first[1:], len(of)))}
+
+    def pairs(self, queries: np.ndarray, which: np.ndarray, width: int):
+        """For balls that some of the queries reach: queries, members (places in ``order``), whether they are linked."""
+        asked: dict[int, list[int]] = {}
+        for k in which.tolist():
+            for node in self.graph.search(queries[k].astype(np.float32), width):
+                asked.setdefault(node, []).append(k)
+        for node, by in asked.items():
+            b, e = self.span[node]
+            for at in range(0, len(by), 256):
+                ks = np.array(by[at : at + 256])
+                for low in range(b, e, 8192):
+                    high = min(e, low + 8192)
+                    linked = queries[ks] @ self.x[low:high].T >= self.least
+                    if linked.any():
+                        yield ks, np.arange(low, high), linked
+
+    def width(self, queries: np.ndarray) -> int:
+        """The beam doubles until an audit of queries spread over the block finds the share RECALL of the links that a
+        comparison with the whole shard finds (or the beam is the whole shard)."""
+        audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
+        total = sum(int((self.x @ queries[k] >= self.least).sum()) for k in audit)
+        width = BEAM
+        while width < len(self.x) and sum(int(linked.sum()) for _, _, linked in self.pairs(queries, audit, width)) < RECALL * total:
+            width *= 2
+        return width
 
-    The beam doubles until an audit of queries spread over the block finds the share RECALL of the links that a
-    comparison with the whole shard finds (or the beam is the whole shard).
-    """
-    x64 = graph.x64 if hasattr(graph, "x64") else graph.x.astype(np.float64)
-    q32 = queries.astype(np.float32)
-    width = BEAM
-    audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = [np.flatnonzero(x64 @ queries[k] >= least) for k in audit]
-    total = sum(map(len, truth))
 
-    def hits(k: int, width: int) -> np.ndarray:
-        near = np.array(sorted(graph.search(q32[k], width, least - CLOSE)), np.int64)
-        return near[x64[near] @ queries[k] >= least] if len(near) else near
+def block_links(shard: Shard, nodes: np.ndarray, copies: np.ndarray, asked: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """For each query its number of links in the shard, and the pairs of a spanning forest of the block's links.
 
-    while width < len(x64) and sum(len(hits(k, width)) for k in audit) < RECALL * total:
-        width *= 2
-    return [hits(k, width) for k in range(len(queries))], width
+    Verified links are counted as they come and never kept: memory stays within the shard's and the block's vectors.
+    """
+    nodes, copies = nodes[shard.order], copies[shard.order].astype(np.int64)
+    n_links = np.zeros(len(asked), np.int64)
+    both, place = np.unique(np.concatenate([nodes, asked]), return_inverse=True)
+    mine, theirs = place[len(nodes) :], place[: len(nodes)]
+    group = np.arange(len(both))
+    a, b = [], []
+    for ks, members, linked in shard.pairs(queries, np.arange(len(asked)), shard.width(queries)):
+        linked &= nodes[members][None, :] != asked[ks][:, None]
+        n_links[ks] += linked @ copies[members]
+        for row, k in enumerate(ks.tolist()):
+            others = theirs[members[linked[row]]]
+            new, first = np.unique(group[others], return_index=True)
+            fresh = new != group[mine[k]]
+            if fresh.any():  # a spanning forest of this block's links is enough for components
+                a += [int(asked[k])] * int(fresh.sum())
+                b += both[others[first[fresh]]].tolist()
+                group[np.isin(group, new[fresh])] = group[mine[k]]
+    return n_links, a, b
 
 
 def _units(batches):
@@ -174,44 +241,29 @@ def _unpacked(nodes: bytes, copies: bytes, units: bytes):
     return n, np.frombuffer(copies, np.int64), np.frombuffer(units, np.float64).reshape(len(n), -1)
 
 
-def _graphs(batches):
-    for batch in batches:
-        made = []
-        for n, c, u in zip(*(batch.column(x).to_pylist() for x in ("nodes", "copies", "units"))):
-            _, _, units = _unpacked(n, c, u)
-            made.append(pickle.dumps(Graph(units.astype(np.float32)), protocol=5))
-        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("label", "part", "nodes", "copies", "units")), pa.array(made, pa.binary())], ["label", "part", "nodes", "copies", "units", "graph"])
+def _graphs(least: float):
+    def run(batches):
+        for batch in batches:
+            made = []
+            for n, c, u in zip(*(batch.column(x).to_pylist() for x in ("nodes", "copies", "units"))):
+                _, _, units = _unpacked(n, c, u)
+                made.append(pickle.dumps(Graph(units.astype(np.float32), least), protocol=5))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("label", "part", "nodes", "copies", "units")), pa.array(made, pa.binary())], ["label", "part", "nodes", "copies", "units", "graph"])
+
+    return run
 
 
 def _compare(least: float):
     def run(batches):
-        last, graph = None, None
+        last, shard = None, None
         for batch in batches:
             for label, part, n1, c1, u1, g, n2, u2 in zip(*(batch.column(c).to_pylist() for c in ("label", "part", "nodes", "copies", "units", "graph", "q_nodes", "q_units"))):
                 nodes, copies, units = _unpacked(n1, c1, u1)
                 asked = np.frombuffer(n2, np.int64)
                 queries = np.frombuffer(u2, np.float64).reshape(len(asked), -1)
                 if last != (label, part):
-                    last, graph = (label, part), pickle.loads(g)
-                    graph.x64 = units
-                found, width = search_block(graph, queries, least)
-                parent: dict[int, int] = {}
-
-                def root(i: int) -> int:
-                    while parent.setdefault(i, i) != i:
-                        parent[i] = i = parent[parent[i]]
-                    return i
-
-                n_links, a, b = [], [], []
-                for node, hit in zip(asked.tolist(), found):
-                    others = nodes[hit]
-                    n_links.append(int(copies[hit][others != node].sum()))
-                    for other in others.tolist():
-                        x, y = root(node), root(other)
-                        if x != y:  # a spanning forest of this block's links is enough for components
-                            parent[max(x, y)] = min(x, y)
-                            a.append(node)
-                            b.append(other)
+                    last, shard = (label, part), Shard(pickle.loads(g), units, least)
+                n_links, a, b = block_links(shard, nodes, copies, asked, queries)
                 yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(n_links, pa.int64()), pa.array([None] * len(asked), pa.int64())], ["a", "n", "b"])
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([0] * len(a), pa.int64()), pa.array(b, pa.int64())], ["a", "n", "b"])
 
@@ -251,7 +303,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     asks = asks.select("label", F.col("nodes").alias("q_nodes"), F.col("units").alias("q_units"), F.col("part").alias("q"))
     # a row is now a whole shard or block
     tune(spark, 1)
-    graphs = saved(shards.repartition("label", "part").mapInArrow(_graphs, kind + ", graph binary"), "graphs")
+    graphs = saved(shards.repartition("label", "part").mapInArrow(_graphs(least), kind + ", graph binary"), "graphs")
     met = graphs.join(asks, "label").repartition("label", "part", "q")
     found = saved(met.mapInArrow(_compare(least), "a long, n long, b long"), "found")
     tune(spark)
