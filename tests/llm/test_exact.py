@@ -249,3 +249,32 @@ def test_pipeline(spark, docs):
     assert not any(b in plain(t) for t in rows["decontamination"].text for b in bench)
     last = rows["byte_bpe"].set_index("doc_id").decoded_sha256.to_dict()
     assert last == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in zip(rows["decontamination"].doc_id, rows["decontamination"].text)}
+
+
+def test_balls_find_every_link_of_dense_groups():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 32))
+    spread = np.concatenate([np.repeat(centres[:2], 300, axis=0), centres]) + 0.0
+    x = spread + rng.normal(size=spread.shape) * np.where(np.arange(len(spread)) < 600, 0.09, 0.0)[:, None]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids, copies = np.arange(len(x)) * 3, rng.integers(1, 4, len(x))
+    shard = vectors.Shard(vectors.Graph(x.astype(np.float32)), x)
+    n, a, b = vectors.block_links(shard, ids, copies, ids, x)
+    linked = (x @ x.T >= vectors.COSINE) & ~np.eye(len(x), dtype=bool)
+    assert linked.sum() > 50_000 and n.tolist() == (linked @ copies).tolist()
+    assert len(shard.span) < len(x) // 2
+
+    def least(pairs):
+        parent = {}
+        for p, q in pairs:
+            p, q = (_root(parent, p), _root(parent, q))
+            parent[max(p, q)] = min(p, q)
+        return [_root(parent, i) for i in ids.tolist()]
+
+    assert least(zip(a, b)) == least((ids[p], ids[q]) for p, q in zip(*np.nonzero(linked)))
+
+
+def _root(parent: dict, i: int) -> int:
+    while parent.get(i, i) != i:
+        i = parent[i]
+    return int(i)
