@@ -28,8 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without sentences that stand in an earlier document (or earlier in the text); n_chars follows."""
-    rows, at = flat(sentences.cut(docs))
+    """Texts without sentences and passages that stand in an earlier document (or earlier in the text); n_chars follows."""
+    rows, at = flat(sentences.cut_words(docs))
     rows = rows.withColumn(at["n_chars"], F.length(at["text"]).cast(docs.schema["n_chars"].dataType))
     return rows.select(*rows.columns[: len(docs.columns)]).toDF(*docs.columns)
 

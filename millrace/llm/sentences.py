@@ -1,17 +1,29 @@
-"""Substring deduplication by runs of sentences."""
+"""Substring deduplication by runs of sentences, and by passages of words wherever their sentences begin."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, saved, take
+from .common import GOLDEN, flat, lists, mix, saved, take, tune
 
 RUN = 3
 LEAST_WORDS = 10
 #: A sentence ends with the blank after its full stop, or with its line. The pieces joined give the text again.
 BREAK = r"(?<=[.!?…。]\s)|(?<=\n)"
 
+#: A word keeps the blanks after it. Words joined give the text again.
+WORD = r"(?<=\s)(?=\S)"
+#: A boundary is the last least hash of two words in some NEAR consecutive places; a passage runs from a boundary to the next one
+#: PASSAGE words or more away. In n words that two documents share, the boundaries from word NEAR - 1 to word n - 1 - NEAR are the
+#: same in both, and there is one in any NEAR places. So 4 * NEAR + PASSAGE - 2 words (46) always hold a passage that both have, and of
+#: more words at most 2 * NEAR - 2 at the beginning and 3 * NEAR - 1 at the end (12 and 20) lie outside of such passages.
+NEAR, PASSAGE = 7, 20
+#: Repeated hashes are marked in so many bits (8 MB), so that only runs which may be repeated are sent on.
+MARKS = 26
+
 
 def pieces(text: Column) -> Column:
     return F.split(text, BREAK)
@@ -69,3 +81,121 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int =
     gone_n = F.when(F.col("places").isNull(), 0).otherwise(F.size(F.filter("places", lambda i: plain(F.get("_p", i)) != "")))
     cols = [kept if c == t else F.col(c) for c in rows.columns if c != "_h"]
     return met.select(*cols, F.when(F.col(t).isNull(), 0).otherwise(whole).cast("long"), gone_n.cast("long")).toDF(*docs.columns, "n_sentences", "n_removed")
+
+
+def _hashes(text: Column) -> Column:
+    """For each sentence, a hash of each word in lower case without blanks; 0 where nothing is left."""
+    bare = lambda w: F.regexp_replace(w, r"\s+", "")
+    word = lambda w: F.when(bare(w) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(bare(w)))
+    return F.transform(pieces(F.lower(text)), lambda p: F.transform(F.split(p, WORD), word))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = 0x9E3779B97F4A7C15
+    of = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)]))
+    with np.errstate(over="ignore"):
+        return of(base), of(pow(base, -1, 1 << 64))
+
+
+def runs(h: np.ndarray, of: np.ndarray, run: int = RUN, least_words: int = LEAST_WORDS, powers: tuple | None = None) -> tuple[np.ndarray, ...]:
+    """Runs of sentences and passages of one text: first word, word after the last, and 64 and 32 bits of hash.
+
+    h: the words' hashes, 0 for blanks; of: the sentence of each.
+    """
+    at = np.flatnonzero(h)
+    n = len(at)
+    up, down = _powers(n) if powers is None else powers
+    with np.errstate(over="ignore"):
+        x = mix(h[at] + GOLDEN)
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(y * up[:n])]) for y in (x, mix(x))]
+        begin = np.flatnonzero(np.diff(of[at], prepend=-1))
+        end = np.append(begin[1:], n)[: len(begin)]
+        a, b, salt = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        if len(begin) >= run:
+            a, b = begin[: len(begin) - run + 1], end[run - 1 :]
+            salt = np.ones(len(a), np.uint64)
+            for k in range(run):  # where sentences end is part of a run
+                salt = mix(salt * GOLDEN + (end - begin)[k : k + len(a)].astype(np.uint64))
+            long = b - a >= least_words
+            a, b, salt = a[long], b[long], salt[long]
+        if n > NEAR:
+            near = np.lib.stride_tricks.sliding_window_view(mix(x[:-1] * GOLDEN + x[1:]), NEAR)
+            cuts = np.unique(np.arange(len(near)) + NEAR - 1 - np.argmin(near[:, ::-1], axis=1))
+            to = np.searchsorted(cuts, cuts + PASSAGE)
+            whole = to < len(cuts)
+            a, b = np.concatenate([a, cuts[whole]]), np.concatenate([b, cuts[to[whole]]])
+            salt = np.concatenate([salt, np.zeros(int(whole.sum()), np.uint64)])
+        one, two = (mix((s[b] - s[a]) * down[a] + salt) for s in sums)
+    return at[a].astype(np.int32), (at[b - 1] + 1).astype(np.int32), one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _runs_column(run: int, least_words: int):
+    @F.arrow_udf("array<struct<a:int,b:int,h:long,h2:int>>")
+    def found(column: pa.Array) -> pa.Array:
+        if column.null_count:
+            column = column.fill_null([])
+        ends = column.offsets.to_numpy().astype(np.int64)
+        inner = column.values.slice(ends[0], ends[-1] - ends[0])
+        words, at = lists(inner)
+        ends = ends - ends[0]
+        words = words.astype(np.int64, copy=False).view(np.uint64)
+        of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        texts = at[ends]
+        powers = _powers(int(np.diff(texts).max(initial=0)))
+        got = [runs(words[i:j], of[i:j], run, least_words, powers) for i, j in zip(texts[:-1], texts[1:])]
+        offsets = np.concatenate([[0], np.cumsum([len(g[0]) for g in got])]).astype(np.int32)
+        kinds = (np.int32, np.int32, np.int64, np.int32)
+        columns = [pa.array(np.concatenate([np.zeros(0, kind), *(g[k] for g in got)]).astype(kind)) for k, kind in enumerate(kinds)]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, ["a", "b", "h", "h2"]))
+
+    return found
+
+
+def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Columns doc_id, key (a hash of the text), ranges: first and last words (counted from 0) of what to remove.
+
+    The runs of sentences of ``repeated``, and every passage; the first place of each stays, as there. The hashes are counted
+    alone at first, and only runs whose hash is marked as repeated are compared in all 96 bits.
+    """
+    tune(docs.sparkSession)
+    rows = take(docs, doc_id=doc_id, text=text).where("text is not null").withColumn("key", _key("text"))
+    found = rows.select("doc_id", "key", _runs_column(run, least_words)(_hashes(F.col("text"))).alias("r"))
+    found = saved(found.select("doc_id", "key", F.explode("r").alias("r")).select("doc_id", "key", "r.a", "r.b", "r.h", "r.h2"), "runs")
+    bucket, bit = F.expr(f"shiftright(h & {2**MARKS - 1}L, 15)"), F.expr("h & 32767L")
+    marks = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(bucket.alias("bucket"), bit.alias("bit"))
+    marks = marks.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("marks"))
+    found = found.withColumn("bucket", bucket).join(F.broadcast(marks), "bucket")
+    found = found.where("shiftright(cast(conv(hex(substring(marks, cast((h & 32767L) div 8 as int) + 1, 1)), 16, 10) as int), cast(h & 7L as int)) & 1 = 1")
+    found = saved(found.select("doc_id", "key", "a", "b", "h", "h2"), "marked")
+    at = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key", "a")
+    seen = found.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1")
+    later = found.join(seen, ["h", "h2"]).where(~F.col("first").eqNullSafe(at))
+    return later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("a", (F.col("b") - 1).alias("b"))).alias("ranges"))
+
+
+def cut_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` with the text without the words of repeated runs of sentences and of repeated passages.
+
+    A passage goes from its first word to its last, though its sentences begin before it or end after it.
+    """
+    gone = repeated_words(docs, doc_id, text, run, least_words).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "ranges")
+    rows, at = flat(docs)
+    t = at[text]
+    met = rows.withColumn("_h", _key(t)).join(gone, F.col(at[doc_id]).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left")
+
+    @F.arrow_udf("string")
+    def left(words: pa.Array, ranges: pa.Array) -> pa.Array:
+        out = []
+        for w, spans in zip(words.to_pylist(), ranges.to_pylist()):
+            if w is None:
+                out.append(None)
+                continue
+            stays = np.ones(len(w), bool)
+            for r in spans:
+                stays[r["a"] : r["b"] + 1] = False
+            out.append("".join(x for x, s in zip(w, stays) if s))
+        return pa.array(out, pa.string())
+
+    split = F.when(F.col("ranges").isNotNull(), F.flatten(F.transform(pieces(F.col(t)), lambda p: F.split(p, WORD))))
+    kept = F.when(F.col("ranges").isNull(), F.col(t)).otherwise(left(split, F.col("ranges")))
+    return met.select(*[kept if c == t else F.col(c) for c in rows.columns]).toDF(*docs.columns)
