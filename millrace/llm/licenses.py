@@ -1,4 +1,4 @@
-"""License scans: MinHash bands over overlapping windows, then exact shingle containment."""
+"""License scans: exact shingle containment, by looking up every shingle of a text among those of the templates."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, flat, lists, mix, shingles, spans, tune, word_hashes
+from .common import flat, lists, shingles, spans, tune, word_hashes
 
 CONTAINED = 0.8
 
@@ -33,106 +33,36 @@ TEMPLATES = {
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
 
-#: Shingles in a window, distance of windows, bands, rows. A template of at most SHORT shingles meets the first kind.
-#: Of a notice of s <= 4 shingles, some window of 4 holds at least min(s, 3): the similarity is 1/4 or more, and 32 bands of one
-#: row miss it with a probability of at most 0.75 ** 32 = 1e-4. Of a longer text, four fifths of its shingles present
-#: leave some window of 12 with a similarity of 0.8 / 1.2 or more: (1 - 0.667 ** 2) ** 16 = 1e-4.
-SHORT = 4
-KINDS = {"short": (4, 2, 32, 1), "long": (12, 4, 16, 2)}
-
-
-def _slide(x: np.ndarray, size: int) -> np.ndarray:
-    """Minima of all runs of ``size`` values."""
-    have = 1
-    while have * 2 <= size:
-        x = np.minimum(x[:-have], x[have:])
-        have *= 2
-    return x if have == size else np.minimum(x[: len(x) - (size - have)], x[size - have :])
-
-
-def _seeds(bands: int, rows: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * GOLDEN)
-
-
-def _bands(h: np.ndarray, window: int, bands: int, rows: int):
-    """For each band, the band's value for each window start (stride one)."""
-    seeds = _seeds(bands, rows)
-    with np.errstate(over="ignore"):
-        for b in range(bands):
-            value = None
-            for r in range(rows):
-                low = _slide((h ^ seeds[b * rows + r]) * np.uint64(0xD6E8FEB86659FD93), window)
-                value = low if value is None else mix(value * GOLDEN + low)
-            yield value
-
 
 class Index:
-    """Template windows by band value. Its size is that of the templates: a few KB each, checked below."""
+    """Templates by shingle. Its size is that of the templates: a few KB each, checked below."""
 
     MOST = 64_000_000
 
     def __init__(self, templates: dict[str, np.ndarray]):
         self.names = sorted(templates)
-        self.sets = [np.unique(templates[n]) for n in self.names]
-        self.bands: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for kind, (window, _, bands, rows) in KINDS.items():
-            found: list[list[tuple[int, int]]] = [[] for _ in range(bands)]
-            for i, n in enumerate(self.names):
-                h = templates[n]
-                if not len(h) or (len(h) <= SHORT) != (kind == "short"):
-                    continue
-                for b, value in enumerate(_bands(h, min(window, len(h)), bands, rows)):
-                    found[b] += [(int(v), i) for v in set(value.tolist())]
-            self.bands[kind] = []
-            for pairs in found:
-                pairs.sort()
-                values = np.array([v for v, _ in pairs], np.uint64)
-                sieve = np.zeros(1 << 12, bool)
-                sieve[values >> np.uint64(52)] = True
-                self.bands[kind].append((values, np.array([i for _, i in pairs], np.int64), sieve))
-        size = sum(v.nbytes + o.nbytes + s.nbytes for x in self.bands.values() for v, o, s in x) + sum(s.nbytes for s in self.sets)
+        sets = [np.unique(templates[n]) for n in self.names]
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        values = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(values, kind="stable")
+        self.values, self.which = values[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.sieve = np.zeros(1 << 16, bool)
+        self.sieve[self.values >> np.uint64(48)] = True
+        size = self.values.nbytes + self.which.nbytes + self.sieve.nbytes
         if size > self.MOST:
             raise ValueError(f"the templates make an index of {size} bytes; scan with at most {self.MOST} bytes at a time")
 
-    def candidates(self, h: np.ndarray, row: np.ndarray) -> set[tuple[int, int]]:
-        """(row, template) pairs of which a window collides in some band."""
-        out: set[tuple[int, int]] = set()
-        for kind, (window, stride, bands, rows) in KINDS.items():
-            if not any(len(v) for v, _, _ in self.bands[kind]) or not len(h):
-                continue
-            # shingles of a row, then fillers so that its last windows are full; windows start at multiples of the stride
-            n = np.bincount(row)
-            n = n[n > 0]
-            owners = row[np.flatnonzero(np.diff(row, prepend=-1))]
-            padded = n + (window - 1)
-            begin = np.cumsum(padded) - padded
-            buffer = np.full(int(padded.sum()), 0, np.uint64)
-            at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            buffer[np.repeat(begin, n) + at] = h
-            owner = np.repeat(np.arange(len(n)), padded)
-            place = np.arange(len(buffer)) - begin[owner]
-            start = np.flatnonzero((place % stride == 0) & (place < n[owner]))
-            start = start[start <= len(buffer) - window]
-            filler = np.ones(len(buffer), bool)
-            filler[np.repeat(begin, n) + at] = False
-            seeds = _seeds(bands, rows)
-            with np.errstate(over="ignore"):
-                for b in range(bands):
-                    value = None
-                    for r in range(rows):
-                        x = (buffer ^ seeds[b * rows + r]) * np.uint64(0xD6E8FEB86659FD93)
-                        x[filler] = np.uint64(0xFFFFFFFFFFFFFFFF)
-                        low = _slide(x, window)[start]
-                        value = low if value is None else mix(value * GOLDEN + low)
-                    values, which, sieve = self.bands[kind][b]
-                    maybe = np.flatnonzero(sieve[value >> np.uint64(52)])
-                    lo = np.searchsorted(values, value[maybe], "left")
-                    hi = np.searchsorted(values, value[maybe], "right")
-                    for k in np.flatnonzero(hi > lo):
-                        r = int(owners[owner[start[maybe[k]]]])
-                        out.update((r, int(i)) for i in which[lo[k] : hi[k]])
-        return out
+    def shares(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, templates (in order), and which share of the template's distinct shingles the row has, if any."""
+        maybe = np.flatnonzero(self.sieve[h >> np.uint64(48)])
+        lo, hi = (np.searchsorted(self.values, h[maybe], side) for side in ("left", "right"))
+        n = hi - lo
+        entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        met = np.unique(np.repeat(row[maybe], n).astype(np.int64) * max(1, len(self.values)) + entry)
+        rows, entry = np.divmod(met, max(1, len(self.values)))
+        pairs, counts = np.unique(rows * max(1, len(self.names)) + self.which[entry], return_counts=True)
+        rows, which = np.divmod(pairs, max(1, len(self.names)))
+        return rows, which, counts / self.sizes[which]
 
 
 def index(spark: SparkSession, templates: dict[str, str]) -> Index:
@@ -148,8 +78,8 @@ def index(spark: SparkSession, templates: dict[str, str]) -> Index:
 def licenses(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, contained: float = CONTAINED, into: str = "_licenses") -> DataFrame:
     """All columns of ``docs`` and ``into``: an array of (license, containment) for each template found in the text.
 
-    A template counts when a window of the text meets a window of the template in a band, and at least ``contained``
-    of the template's distinct five-word shingles occur in the text. Null, empty and wordless texts have none; a
+    A template counts when at least ``contained`` of its distinct five-word shingles occur in the text, wherever they
+    stand; every shingle is looked up, so none is missed. Null, empty and wordless texts have none; a
     template of fewer than five words is one shingle, as is a text of fewer than five.
     """
     spark = docs.sparkSession
@@ -164,9 +94,7 @@ def licenses(docs: DataFrame, text: str = "text", templates: dict[str, str] | No
         for begin, end in spans(offsets, 500_000):
             cut = offsets[begin : end + 1]
             h, row = shingles(values[cut[0] : cut[-1]], cut - cut[0])
-            ends = np.searchsorted(row, np.arange(end - begin + 1))
-            for r, i in sorted(known.candidates(h, row)):
-                share = float(np.isin(known.sets[i], h[ends[r] : ends[r + 1]]).mean())
+            for r, i, share in zip(*(x.tolist() for x in known.shares(h, row))):
                 if share >= contained:
                     out[begin + r].append({"license": known.names[i], "containment": share})
         return pa.array(out, pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64())])))
