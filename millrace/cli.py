@@ -16,6 +16,7 @@ from .operators import keyvalue
 from .operators.aggregate import aggregate
 from .operators.convert import transform
 from .operators.masks import select
+from .operators.rows import where
 from .plans.types import parse
 from .sources import base
 
@@ -42,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("-d", "--delimiter", default=None)
         if name in ("converter", "aggregator"):
             c.add_argument("--schema", required=True)
+            c.add_argument("-w", "--where", default="", help="a predicate: a function of the row")
         else:
             c.add_argument("--key-schema", required=True)
             c.add_argument("--value-schema", required=True)
@@ -70,6 +72,8 @@ def run(spark: SparkSession, args: list[str]) -> list[str] | None:
         return _lines(keyvalue.dump(df, a.key_schema, a.value_schema, a.kv_delim, a.output_enc, **outer), "entry", a.output)
     m = parse(a.schema)
     df = base.read(spark, a.input, a.input_enc, m, a.delimiter, **inner)
+    if a.where:
+        df = where(df, m, a.where)
     if a.command == "aggregator":
         df = df.withColumn("_at", F.monotonically_increasing_id()) if a.order is None else df
         df, m = aggregate(df, m, a.init, a.update, a.finalize, order=a.order or "_at")

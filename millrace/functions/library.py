@@ -83,6 +83,14 @@ def last_ip4(v: Column) -> Column:
     return network.last_ip4(v["ip"], v["mask"])
 
 
+def first_ip6(v: Column) -> Column:
+    return network.first_ip6(v["ip"], v["mask"])
+
+
+def last_ip6(v: Column) -> Column:
+    return network.last_ip6(v["ip"], v["mask"])
+
+
 def _in_cidr(item: Value, c: Value) -> Column:
     t = develop(c.mn.typ)
     ip = develop(t.items[0].typ).kind

@@ -25,23 +25,64 @@ def _over(x: Column, m: Column) -> Column:
     return ((x - F.pmod(x, m)) / m).cast(BIG)
 
 
-def _two_to(n: Column, most: int) -> Column:
-    """A power of two as an exact decimal."""
-    return F.element_at(F.array(*[_const(1 << k) for k in range(most + 1)]), F.when(n.between(0, most), n).otherwise(0).cast("int") + 1)
+def once(f, *args: Column) -> Column:
+    """A function of columns that mentions them several times. Long ones become variables of a lambda, so that nested
+    calls don't multiply, as do random ones, which each mention would draw anew; others stay plain, for generated code.
+    """
+    texts = [str(a) for a in args]
+    if sum(map(len, texts)) < 300 and not any("rand(" in t for t in texts):
+        return f(*args)
+    packed = F.struct(*[a.alias(f"a{i}") for i, a in enumerate(args)])
+    return F.get(F.transform(F.array(packed), lambda s: f(*[s[f"a{i}"] for i in range(len(args))])), F.lit(0))
+
+
+LOW = (1 << 32) - 1
+
+
+def to_bits(x: Column, kind: str) -> Column:
+    """An integer as the long that has its low 64 bits. A U64 is a decimal; all others are that long already."""
+    if kind != "u64":
+        return x.cast("long")
+    return F.when(x >= _const(1 << 63), (x.cast(BIG) - _const(1 << 64)).cast("long")).otherwise(x.cast("long"))
+
+
+def of_bits(x: Column, kind: str) -> Column:
+    """A long cut to the width of ``kind``: by masks and shifts, which never overflow."""
+    n = INTEGERS[kind]
+    if kind == "u64":
+        return F.when(x < 0, x.cast(BIG) + _const(1 << 64)).otherwise(x.cast(BIG)).cast(storage(kind))
+    if n < 64:
+        x = F.shiftright(F.shiftleft(x, 64 - n), 64 - n) if kind in SIGNED else x.bitwiseAND(F.lit((1 << n) - 1))
+    return x.cast(storage(kind))
+
+
+def _joined(high: Column, low: Column) -> Column:
+    """High and low 32 bits; what exceeds them in ``low`` (a borrow is negative) goes on to the high ones."""
+    return F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(low.bitwiseAND(F.lit(LOW)))
+
+
+def _add64(a: Column, b: Column, sign: int = 1) -> Column:
+    """a + b or a - b of longs, wrapped: plain additions of longs raise where they overflow."""
+    other = (lambda x, y: x + y) if sign > 0 else (lambda x, y: x - y)
+    return _joined(other(F.shiftright(a, 32), F.shiftright(b, 32)), other(a.bitwiseAND(F.lit(LOW)), b.bitwiseAND(F.lit(LOW))))
+
+
+def _mul64(a: Column, b: Column) -> Column:
+    """The low 64 bits of a product of longs, from products of fewer than 63 bits."""
+    a0, b0 = a.bitwiseAND(F.lit(LOW)), b.bitwiseAND(F.lit(LOW))
+    first = _add64(a0.bitwiseAND(F.lit(0xFFFF)) * b0, F.shiftleft(F.shiftright(a0, 16) * b0, 16))
+    cross = (F.shiftright(a, 32) * b0).bitwiseAND(F.lit(LOW)) + (a0 * F.shiftright(b, 32)).bitwiseAND(F.lit(LOW))
+    return _add64(first, F.shiftleft(cross, 32))
 
 
 def wrap(x: Column, kind: str, wide: bool = True) -> Column:
     """An integer column (``wide``: a decimal, else a long that has not overflowed) modulo the width of ``kind``."""
+    if not wide:
+        return of_bits(x.cast("long"), kind)
     n = INTEGERS[kind]
-    if wide or n >= 63:
-        x = x.cast(BIG)
-        const = _const
-    else:
-        x = x.cast("long")
-        const = F.lit
     half = 1 << (n - 1) if kind in SIGNED else 0
-    y = F.pmod(x + const(half), const(1 << n)) if half else F.pmod(x, const(1 << n))
-    return (y - const(half) if half else y).cast(storage(kind))
+    y = F.pmod(x.cast(BIG) + _const(half), _const(1 << n)) if half else F.pmod(x.cast(BIG), _const(1 << n))
+    return (y - _const(half) if half else y).cast(storage(kind))
 
 
 def in_range(kind: str) -> tuple[int, int]:
@@ -50,7 +91,7 @@ def in_range(kind: str) -> tuple[int, int]:
 
 
 def from_float(x: Column, kind: str) -> Column:
-    """A float without its fraction, wrapped; NaN and infinities give 0."""
+    """A float without its fraction, wrapped; NaN, infinities and what no 37 digits hold (1e37 and beyond) give 0."""
     whole = F.when(F.isnan(x) | (F.abs(x) == INF), F.lit(0.0)).otherwise(F.when(x < 0, F.ceil(F.lit(0.0) + x).cast("double")).otherwise(F.floor(x).cast("double")))
     # above 2**53 a float has no fraction, and floor would saturate
     whole = F.when(F.abs(x) >= float(1 << 53), x).otherwise(whole)
@@ -58,30 +99,21 @@ def from_float(x: Column, kind: str) -> Column:
 
 
 def add(a: Column, b: Column, kind: str) -> Column:
-    if INTEGERS[kind] < 56:
+    if INTEGERS[kind] <= 56:
         return wrap(a.cast("long") + b.cast("long"), kind, False)
-    return wrap(a.cast(BIG) + b.cast(BIG), kind)
+    return of_bits(_add64(to_bits(a, kind), to_bits(b, kind)), kind)
 
 
 def sub(a: Column, b: Column, kind: str) -> Column:
-    if INTEGERS[kind] < 56:
+    if INTEGERS[kind] <= 56:
         return wrap(a.cast("long") - b.cast("long"), kind, False)
-    return wrap(a.cast(BIG) - b.cast(BIG), kind)
+    return of_bits(_add64(to_bits(a, kind), to_bits(b, kind), -1), kind)
 
 
 def mul(a: Column, b: Column, kind: str) -> Column:
-    n = INTEGERS[kind]
-    if n <= 24:
+    if INTEGERS[kind] <= 24:
         return wrap(a.cast("long") * b.cast("long"), kind, False)
-    if n <= 56:
-        return wrap(a.cast("decimal(19,0)") * b.cast("decimal(19,0)"), kind)
-    # 64 bits: decimals of 38 digits hold no product; limbs of 32 bits do
-    m = _const(1 << 32)
-    low = lambda x: F.pmod(x.cast(BIG), m)
-    high = lambda x: F.pmod(_over(x.cast(BIG), m), m)
-    limb = lambda x: x.cast("decimal(10,0)")
-    cross = F.pmod(limb(high(a)) * limb(low(b)) + limb(low(a)) * limb(high(b)), m)
-    return wrap((limb(low(a)) * limb(low(b))).cast(BIG) + (cross.cast("decimal(10,0)") * F.lit(str(1 << 32)).cast("decimal(10,0)")).cast(BIG), kind)
+    return of_bits(_mul64(to_bits(a, kind), to_bits(b, kind)), kind)
 
 
 def neg(a: Column, kind: str) -> Column:
@@ -94,14 +126,10 @@ def absolute(a: Column, kind: str) -> Column:
 
 def div(a: Column, b: Column, kind: str) -> Column:
     """Towards zero; null for a zero divisor; the least integer over -1 wraps."""
-    if storage(kind) in ("decimal(20,0)", "bigint"):
-        x, y = a.cast(BIG), F.when(b != 0, b).cast(BIG)
-        q = _over(F.abs(x), F.abs(y))
-        return wrap(F.when((x < 0) != (y < 0), -q).otherwise(q), kind)
-    # below 32 bits a double quotient is exact enough to be cut
-    x, y = a.cast("double"), F.when(b != 0, b).cast("double")
-    q = x / y
-    return wrap(F.when(q < 0, F.ceil(q)).otherwise(F.floor(q)), kind, False)
+    if kind == "u64":
+        return wrap(_over(a.cast(BIG), F.when(b != 0, b).cast(BIG)), kind)
+    over = F.call_function("div", a.cast("long"), F.when((b != 0) & (b != -1), b).cast("long"))
+    return F.when(b == -1, neg(a, kind)).otherwise(over.cast(storage(kind))) if kind in SIGNED else over.cast(storage(kind))
 
 
 def rem(a: Column, b: Column, kind: str) -> Column:
@@ -142,48 +170,43 @@ def half_away(x: Column) -> Column:
 
 
 def bits(a: Column, b: Column | None, kind: str, op: str) -> Column:
-    """and, or, xor, not at the width of ``kind``: 64-bit unsigned ones in two limbs."""
-    if storage(kind) == "decimal(20,0)":
-        m = _const(1 << 32)
-        limbs = [[_over(x.cast(BIG), m).cast("long"), F.pmod(x.cast(BIG), m).cast("long")] for x in (a, b) if x is not None]
-        full = F.lit((1 << 32) - 1)
-        done = [_bit(limbs[0][i], limbs[1][i] if len(limbs) > 1 else full, "xor" if op == "not" else op) for i in (0, 1)]
-        return (done[0].cast(BIG) * m + done[1].cast(BIG)).cast(storage(kind))
+    """and, or, xor, not at the width of ``kind``."""
     if op == "not":
-        return wrap(F.bitwise_not(a.cast("long")), kind, False)
-    return wrap(_bit(a.cast("long"), b.cast("long"), op), kind, False)
+        return of_bits(F.bitwise_not(to_bits(a, kind)), kind)
+    return of_bits(_bit(to_bits(a, kind), to_bits(b, kind), op), kind)
 
 
 def _bit(a: Column, b: Column, op: str) -> Column:
     return {"and": a.bitwiseAND, "or": a.bitwiseOR, "xor": a.bitwiseXOR}[op](b)
 
 
-def shift_left(a: Column, n: Column, kind: str) -> Column:
+def _shifted(name: str, a: Column, n: Column, kind: str) -> Column:
     size = INTEGERS[kind]
-    if size >= 32:
-        # the bits that survive, then a product of at most the width
-        low = F.pmod(a.cast(BIG), _two_to(F.lit(size) - n, size))
-        return F.when(n >= size, F.lit(0)).otherwise(wrap(low.cast("decimal(20,0)") * _two_to(n, size - 1).cast("decimal(20,0)"), kind)).cast(storage(kind))
-    return F.when(n >= size, F.lit(0)).otherwise(wrap(F.call_function("shiftleft", a.cast("long"), F.when(n < 32, n).otherwise(0).cast("int")), kind, False)).cast(storage(kind))
+    moved = of_bits(F.call_function(name, a, F.when(n < size, n).otherwise(0).cast("int")), kind)
+    return F.when(n >= size, F.lit(0).cast(storage(kind))).otherwise(moved)
+
+
+def shift_left(a: Column, n: Column, kind: str) -> Column:
+    return _shifted("shiftleft", to_bits(a, kind), n, kind)
 
 
 def shift_right(a: Column, n: Column, kind: str) -> Column:
     """Logical, at the declared width."""
     size = INTEGERS[kind]
-    plain = F.pmod(a.cast(BIG), _const(1 << size))
-    return F.when(n >= size, F.lit(0)).otherwise(wrap(_over(plain, _two_to(n, size - 1)), kind)).cast(storage(kind))
+    plain = to_bits(a, kind) if size == 64 else a.cast("long").bitwiseAND(F.lit((1 << size) - 1))
+    return _shifted("shiftrightunsigned", plain, n, kind)
 
 
 def power(a: Column, b: Column, kind: str) -> Column:
-    """Whole powers by squaring, six or so bits of exponent; null for a negative exponent."""
-    out, base = F.lit(1).cast(storage(kind)), a
-    exponent = F.when(b >= 0, b).cast("long")
-    for k in range(8):
-        bit = F.call_function("shiftright", exponent, F.lit(k)) % 2
-        out = F.when(bit == 1, mul(out, base, kind)).otherwise(out)
-        if k < 7:
-            base = mul(base, base, kind)
-    return F.when(exponent.isNotNull(), out)
+    """Whole powers by squaring, one step for each bit of the exponent; null for a negative exponent."""
+    start = F.struct(F.lit(1).cast(storage(kind)).alias("out"), a.alias("base"), F.when(b >= 0, b).cast("long").alias("left"))
+
+    def step(s, _):
+        out = F.when(s["left"].bitwiseAND(F.lit(1)) == 1, mul(s["out"], s["base"], kind)).otherwise(s["out"])
+        return F.struct(out.alias("out"), mul(s["base"], s["base"], kind).alias("base"), F.shiftright(s["left"], 1).alias("left"))
+
+    bits = F.length(F.bin(F.when(b >= 0, b).otherwise(0).cast("long")))
+    return F.when(b >= 0, F.aggregate(F.sequence(F.lit(1), bits), start, step, lambda s: s["out"]))
 
 
 def parse_int(s: Column, kind: str) -> Column:

@@ -1,7 +1,7 @@
 """Incremental sets as table operations: sliding, tumbling, sampling, hash, ordered and weighted top sets.
 
 Rows of a table have no order of their own, so sets that depend on it take an ordering. ``keys`` may be empty: the
-whole table is then one group, met by partial results and never by one task.
+whole table is then one group, met by partial results or by ranges of the order, never by one task.
 """
 
 from __future__ import annotations
@@ -9,9 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import network
 from .store import saved
 
 
+#: Rows of a piece of an order.
+PIECE = 100_000
+
+
 def _cols(order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in ([order] if isinstance(order, (str, Column)) else order)]
 
@@ -35,8 +40,16 @@ def sliding_lists(df: DataFrame, keys: list[str], order, n: int, item: Column |
 
 def running(df: DataFrame, keys: list[str], order, n: int, item: str, into: str = "items") -> DataFrame:
     """Each row with the window of its group's last ``n`` items up to it, oldest first."""
-    w = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(-(n - 1), 0)
-    return df.withColumn(into, F.collect_list(item).over(w))
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(-(n - 1), 0)
+        return df.withColumn(into, F.collect_list(item).over(w))
+    # pieces of the order, each with the last rows of the piece before it
+    size = max(PIECE, n)
+    rows = numbered(df, order, "_n").withColumn("_piece", F.floor(F.col("_n") / size))
+    carried = (F.col("_n") % size >= size - (n - 1)) if n > 1 else F.lit(False)
+    places = F.when(carried, F.array(F.col("_piece"), F.col("_piece") + 1)).otherwise(F.array(F.col("_piece")))
+    w = Window.partitionBy("_in").orderBy("_n").rowsBetween(-(n - 1), 0)
+    return rows.withColumn("_in", F.explode(places)).withColumn(into, F.collect_list(item).over(w)).where(F.col("_in") == F.col("_piece")).drop("_n", "_piece", "_in")
 
 
 def numbered(df: DataFrame, order, into: str = "n") -> DataFrame:
@@ -71,9 +84,14 @@ def tumbling_time(df: DataFrame, keys: list[str], time: str, duration: str, *agg
     return made.select(F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *[f"`{c}`" for c in made.columns[1:]])
 
 
-def sampling(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
-    """A uniform sample of ``n`` rows of each group, the same for the same rows and partitions."""
-    return sliding(df.withColumn("_r", F.rand(seed)), keys, "_r", n).drop("_r")
+def sampling(df: DataFrame, keys: list[str], n: int, seed: int = 0, by: list[str] | None = None) -> DataFrame:
+    """A uniform sample of ``n`` rows of each group: those of the largest hashes of the columns ``by`` (all of them, if
+    not said) and the seed. It depends on the rows alone, so a task that runs again draws the same; rows equal in ``by``
+    share a hash, so name columns that tell rows apart.
+    """
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (by or df.columns)]
+    rows = df.withColumn("_r", F.md5(F.concat_ws("|", *cells, F.lit(str(seed))).cast("binary")))
+    return sliding(rows, keys, "_r", n).drop("_r")
 
 
 def hash_set(df: DataFrame, keys: list[str], item: str, into: str = "items") -> DataFrame:
@@ -87,11 +105,29 @@ def members(df: DataFrame, column: str, of: DataFrame, of_column: str, inside: b
     return df.join(other, df[column].eqNullSafe(F.col("_member")), "left_semi" if inside else "left_anti")
 
 
+def members_of_nets(df: DataFrame, ip: str, nets: DataFrame, cidr: str, wide: bool = False, inside: bool = True) -> DataFrame:
+    """Rows whose address lies in (or outside of) the networks of another table, a column of (ip, mask) records.
+
+    A range join: both sides carry the first 16 bits of addresses as a key, so that Spark joins by equality, and the range decides within a key.
+    A network of fewer than 16 bits stands under each of its keys, 65,536 at most. ``wide``: 128-bit addresses. NULL addresses lie in none.
+    """
+    c = F.col(cidr)
+    first, last = (network.first_ip6, network.last_ip6) if wide else (network.first_ip4, network.last_ip4)
+    key = (lambda x: F.conv(F.hex(F.substring(x, F.lit(1), F.lit(2))), 16, 10).cast("int")) if wide else (lambda x: F.call_function("shiftright", x.cast("long"), F.lit(16)).cast("int"))
+    ranges = nets.where(c.isNotNull()).select(c["ip"].alias("_ip"), c["mask"].alias("_mask")).distinct().select(first(F.col("_ip"), F.col("_mask")).alias("_first"), last(F.col("_ip"), F.col("_mask")).alias("_last"))
+    ranges = ranges.withColumn("_key", F.explode(F.sequence(key(F.col("_first")), key(F.col("_last")))))
+    met = (key(F.col(ip)) == F.col("_key")) & F.col(ip).between(F.col("_first"), F.col("_last"))
+    return df.join(ranges, met, "left_semi" if inside else "left_anti")
+
+
 def heap(df: DataFrame, keys: list[str], item: str, drop: int = 0, n: int | None = None, into: str = "items") -> DataFrame:
     """Items of each group in ascending order, without the ``drop`` smallest, ``n`` at most."""
     if n is None:
         ordered = F.array_sort(F.collect_list(item))
         return df.groupBy(*keys).agg(F.slice(ordered, F.lit(drop + 1), F.greatest(F.size(ordered) - drop, F.lit(0))).alias(into))
+    if not keys:
+        least = df.select(F.col(item).alias("_item")).orderBy(F.col("_item").asc_nulls_last()).limit(drop + n)
+        return least.agg(F.slice(F.array_sort(F.collect_list("_item")), drop + 1, n).alias(into))
     w = Window.partitionBy(*keys).orderBy(F.col(item).asc_nulls_last())
     rows = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= drop + n)
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("_rn") > drop, F.col(item)))).alias(into))
@@ -123,6 +159,18 @@ def top_sketch(df: DataFrame, item: str, size: int, max_size: int) -> DataFrame:
     return got.select(F.explode("t").alias("x")).select(F.col("x.item").alias("item"), F.col("x.count").alias("count"))
 
 
+def scaled_by_rows(df: DataFrame, keys: list[str], order, weight: str, factor: float) -> DataFrame:
+    """Weights as they are once all rows of the group are in, when each new row scales all weights before its own."""
+    cols = _cols(order)
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(*[c.desc_nulls_last() for c in cols])
+        later = F.row_number().over(w) - 1
+        return df.withColumn("_later", later).withColumn(weight, F.col(weight) * F.pow(F.lit(float(factor)), F.col("_later"))).drop("_later")
+    rows = numbered(df, cols, "_n")
+    last = rows.agg(F.max("_n").alias("_last"))  # one row
+    return rows.crossJoin(F.broadcast(last)).withColumn(weight, F.col(weight) * F.pow(F.lit(float(factor)), F.col("_last") - F.col("_n"))).drop("_n", "_last")
+
+
 def scaled(weight: Column, age: Column, half_life: float) -> Column:
     """A weight that halves over time, for decayed tops."""
     return weight * F.pow(F.lit(0.5), age / half_life)

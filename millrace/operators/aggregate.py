@@ -144,6 +144,10 @@ def _number(tree, default: float = 0.0) -> float:
 def _set(df, keys, order, start, tree, types, row: Value, last: Lambda, into: str):
     flavour = SETS[start[0]]
     body = tree[2]
+    factor = None
+    if isinstance(body, list) and len(body) == 3 and body[0] == "seq" and isinstance(body[1], list) and body[1][0] == "scale-weights" and _is_state(body[1][1]):
+        factor, body = compile_tree(body[1][2], Env()).literal, body[2]
+        need(isinstance(factor, (int, float)) and order is not None, "weights are scaled by a constant, in a stated order of the rows")
     need(isinstance(body, list) and body[0] in ("insert", "insert-weighted") and _is_state(body[1]), "a set is updated by an insertion")
     weighted = body[0] == "insert-weighted"
     item_tree = body[3 if weighted else 2]
@@ -152,6 +156,9 @@ def _set(df, keys, order, start, tree, types, row: Value, last: Lambda, into: st
     need(kind.kind == "set" and kind.extra == flavour and equal(kind.items[0].typ, item.mn.typ), f"{types[0]} is no {flavour} set of {item.mn}")
     rows = df.select(*keys, item.col.alias("_item"), *([compile_tree(body[2], Env({}, [Value(None, types[0]), row])).col.alias("_w")] if weighted else []), *_order(order))
     names = [f"_o{i}" for i in range(len(_order(order)))]
+    if factor is not None:
+        need(weighted, "only weights are scaled")
+        rows = accumulators.scaled_by_rows(rows, keys, names, "_w", factor)
     if flavour == "simple":
         need(bool(names), "a list in order needs an order of the rows")
         packed = F.struct(*[F.col(n) for n in names], "_item")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,16 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
-    """Write and read back, so that what follows sees the same rows whatever is lost meanwhile."""
+    """Write and read back, so that what follows sees the same rows whatever is lost meanwhile. The files go when the driver ends."""
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if folder is None:
         folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(hadoop)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +36,14 @@ class Value:
         return develop(self.mn.typ).kind
 
 
+#: How deep ``myself`` may call itself: a Column has no recursion, so calls are written out.
+RECURSION = 16
+
+
+class TooDeep(TypeProblem):
+    """A recursion that is not written out further; a condition that leads there raises when it holds."""
+
+
 @dataclass(frozen=True)
 class Lambda:
     """A function value: it has its parameters and the definitions outside of functions, nothing else."""
@@ -43,8 +51,11 @@ class Lambda:
     params: tuple[Maybe, ...]
     body: object
     outer: "Env"
+    depth: int = 0
 
     def __call__(self, *args: Value) -> Value:
+        if self.depth > RECURSION:
+            raise TooDeep(f"a function calls itself more than {RECURSION} times")
         if len(args) != len(self.params):
             raise TypeProblem(f"{len(self.params)} arguments are expected, not {len(args)}")
         for a, p in zip(args, self.params):
@@ -135,7 +146,7 @@ def literal(kind: str, value) -> Value:
     if kind == "float":
         return of(kind, F.lit(float(value)), literal=float(value))
     if kind in ("size", "address"):
-        return of(kind, F.lit(int(value)).cast("long"), literal=int(value))
+        return of(kind, F.lit(str(int(value))).cast(to_spark(Type(kind))), literal=int(value))
     if kind == "bool":
         return of(kind, F.lit(bool(value)), literal=bool(value))
     if kind == "bytes":
@@ -255,11 +266,11 @@ def _atom(token: str, env: Env):
     low = token.lower()
     if low in ("true", "false"):
         return literal("bool", low == "true")
-    if low in ("now", "random-float", "random-u8", "random-u32", "random-u64", "random-u128"):
+    if low in ("now", "random-float", "random-u8", "random-u32", "random-u64", "random-u128", "copy-field", "skip-field", "set-field-null"):
         return SPECIAL[low]([token], env)
     if low == "myself":
         need(env.me is not None, "myself stands outside of a function")
-        return env.me
+        return replace(env.me, depth=env.me.depth + 1)
     digits = low.lstrip("+-")
     if digits[:1].isdigit():
         if "." in low or ("e" in low and "x" not in low) or "p" in low:
@@ -290,7 +301,7 @@ def _scalar(kind: str):
     return build
 
 
-for _k in (*INTEGERS, "float", "bool", "char", "string", "bytes", "size"):
+for _k in (*INTEGERS, "float", "bool", "char", "string", "bytes", "size", "address"):
     SPECIAL[_k] = _scalar(_k)
 
 
@@ -321,7 +332,8 @@ def _external(tree, env):
 
 @special("myself")
 def _myself(tree, env):
-    return _atom("myself", env)
+    f = _atom("myself", env)
+    return f(*[compile_tree(x, env) for x in tree[1:]]) if len(tree) > 1 else f
 
 
 @special("now")
@@ -574,10 +586,23 @@ def _let_pair(tree, env):
     return compile_tree(tree[4], env.bind(_label(tree[2]), Value(v.col.getField("_2"), t.items[1])))
 
 
+def _branch(tree, env) -> Value | None:
+    try:
+        return compile_tree(tree, env)
+    except TooDeep:
+        return None
+
+
 @special("if")
 def _if(tree, env):
-    c, a, b = (compile_tree(x, env) for x in tree[1:4])
-    expect(c, "bool")
+    c = expect(compile_tree(tree[1], env), "bool")
+    a, b = _branch(tree[2], env), _branch(tree[3], env)
+    if a is None or b is None:
+        if a is b:
+            raise TooDeep(f"a function calls itself more than {RECURSION} times")
+        known = a or b
+        deep = F.raise_error(F.lit(f"a function calls itself more than {RECURSION} times")).cast(to_spark(known.mn))
+        return Value(F.when(c.col, a.col if a else deep).otherwise(b.col if b else deep), known.mn)
     need(equal(a.mn.typ, b.mn.typ), f"branches are {a.mn} and {b.mn}")
     return Value(F.when(c.col, a.col).otherwise(b.col), Maybe(a.mn.typ, a.mn.nullable or b.mn.nullable))
 
@@ -646,7 +671,7 @@ def _arith(name: str, ints, floats, partial: bool = False):
         if kind == "float":
             col = floats(a.col, b.col)
             return Value(numbers.nan_null(col) if partial else col, Maybe(a.mn.typ, partial))
-        col = wide.binary(name, is_signed(kind), a.col, b.col) if wide_kind(kind) else ints(a.col, b.col, kind)
+        col = wide.binary(name, is_signed(kind), a.col, b.col) if wide_kind(kind) else numbers.once(lambda x, y: ints(x, y, kind), a.col, b.col)
         return Value(col, Maybe(a.mn.typ, partial))
 
     return build
@@ -678,7 +703,7 @@ for _n in ("div", "rem", "pow"):
 @op("neg")
 def _neg(a):
     kind = numeric(a)
-    return Value(-a.col if kind == "float" else wide.negate(is_signed(kind), a.col) if wide_kind(kind) else numbers.neg(a.col, kind), a.mn)
+    return Value(-a.col if kind == "float" else wide.negate(is_signed(kind), a.col) if wide_kind(kind) else numbers.once(lambda x: numbers.neg(x, kind), a.col), a.mn)
 
 
 @op("abs")
@@ -686,14 +711,14 @@ def _abs(a):
     kind = numeric(a)
     if kind == "float" or not is_signed(kind):
         return Value(F.abs(a.col) if kind == "float" else a.col, a.mn)
-    return Value(wide.negate(True, a.col, True) if wide_kind(kind) else numbers.absolute(a.col, kind), a.mn)
+    return Value(wide.negate(True, a.col, True) if wide_kind(kind) else numbers.once(lambda x: numbers.absolute(x, kind), a.col), a.mn)
 
 
 def _bitop(name: str):
     def build(a, b):
         kind = _pair(a, b)
         need(kind != "float", "bits are of integers")
-        return Value(wide.binary(f"bit-{name}", is_signed(kind), a.col, b.col) if wide_kind(kind) else numbers.bits(a.col, b.col, kind, name), a.mn)
+        return Value(wide.binary(f"bit-{name}", is_signed(kind), a.col, b.col) if wide_kind(kind) else numbers.once(lambda x, y: numbers.bits(x, y, kind, name), a.col, b.col), a.mn)
 
     return build
 
@@ -712,7 +737,7 @@ def _shift(name: str, f):
     def build(a, n):
         kind = integer(a)
         need(n.kind == "u8" and not n.mn.nullable, f"a shift is a U8, not {n.mn}")
-        return Value(wide.binary(name, is_signed(kind), a.col, n.col, True) if wide_kind(kind) else f(a.col, n.col, kind), a.mn)
+        return Value(wide.binary(name, is_signed(kind), a.col, n.col, True) if wide_kind(kind) else numbers.once(lambda x, y: f(x, y, kind), a.col, n.col), a.mn)
 
     return build
 
@@ -741,7 +766,7 @@ def to_int(v: Value, kind: str) -> Column:
         (a, b), (c, d) = numbers.in_range(src), numbers.in_range(kind)
         if c <= a and b <= d:
             return v.col.cast(numbers.storage(kind))
-    return numbers.wrap(v.col, kind)
+    return numbers.once(lambda x: numbers.of_bits(numbers.to_bits(x, src), kind), v.col)
 
 
 def _to(kind: str):
@@ -791,7 +816,7 @@ OPS["u8-of-char"] = lambda v: of("u8", F.ascii(expect(v, "char").col).cast("shor
 OPS["char-of-u8"] = lambda v: of("char", F.when(expect(v, "u8").col == 0, F.decode(F.lit(b"\0"), "utf-8")).otherwise(F.chr(v.col.cast("long"))))
 OPS["string-of-char"] = lambda v: of("string", expect(v, "char").col)
 OPS["size-of-u32"] = lambda v: of("size", expect(v, "u32").col)
-OPS["u32-of-size"] = lambda v: of("u32", numbers.wrap(expect(v, "size").col, "u32"))
+OPS["u32-of-size"] = lambda v: of("u32", numbers.of_bits(expect(v, "size").col, "u32"))
 OPS["u8-of-bool"] = lambda v: of("u8", expect(v, "bool").col.cast("int").cast("short"))
 OPS["bool-of-u8"] = lambda v: of("bool", expect(v, "u8").col != 0)
 
@@ -885,7 +910,7 @@ def _max(a, b):
 
 @op("hash")
 def _hash(v):
-    return of("u64", numbers.wrap(F.xxhash64(v.col), "u64"))
+    return of("u64", numbers.of_bits(F.xxhash64(v.col), "u64"))
 
 
 # --- strings and bytes -----------------------------------------------------------------------------------------
@@ -1138,4 +1163,6 @@ def evaluate(text: str, *params: Value, **names: Value) -> Column:
     return got(*params).col if isinstance(got, Lambda) else got.col
 
 
+from . import cursors  # noqa: E402, F401  its operators join those above
+
 __all__ = ["Env", "Lambda", "TypeProblem", "Value", "compile_text", "evaluate", "text_of", "typed"]

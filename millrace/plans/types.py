@@ -358,8 +358,14 @@ def to_spark(m: Maybe | Type) -> S.DataType:
             return S.StringType()
         case "bytes":
             return S.BinaryType()
-        case "size" | "address" | "ptr":
+        case "size":
             return S.LongType()
+        case "address":
+            return S.DecimalType(20, 0)
+        case "mask":
+            return S.StringType()
+        case "ptr":
+            return S.StructType([S.StructField("data", S.BinaryType(), True), S.StructField("at", S.LongType(), True), S.StructField("stop", S.LongType(), True)])
         case "void":
             return S.NullType()
         case "vec" | "arr" | "lst" | "set":

@@ -345,3 +345,6 @@ def q_wide_integers(spark, sf):
 def q_random(spark, sf):
     e = lambda t: ev(t, k=("n_nationkey", "i32"))
     return table(spark, sf, "nation").select("n_nationkey", e("(random-float)").alias("f"), e("(random-u8)").alias("u8"), e("(random-u64)").alias("u64"), e("(hash k)").alias("h"), e("(now)").alias("now"))
+
+
+from . import operator_queries  # noqa: E402, F401  its queries join those above

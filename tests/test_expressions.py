@@ -81,3 +81,34 @@ def test_random_values(spark):
 
     rows = spark.range(50).select(random_value(parse("{a: u8; b: string?; c: i16[3]; d: [x bool | y float]; e: u64[]}"), 3).alias("r")).collect()
     assert {r.r["b"] is None for r in rows} == {True, False} and all(0 <= r.r["a"] < 256 and len(r.r["c"]) == 3 for r in rows)
+
+
+CURSORS = [
+    ('(get-item 0 (read-u16 little-endian (ptr-of-string "AB")))', 16961), ('(get-item 0 (read-u64 big-endian (ptr-of-string "ABCDEFGHI")))', 0x4142434445464748), ('(peek-u8 (ptr-of-string "hello") (size 4))', 111),
+    ('(get-item 0 (read-bytes (rewind (write-u64 little-endian (ptr-of-buffer (size 8)) (u64 18446744073709551614)) (size 8)) (size 8)))', b"\xfe" + b"\xff" * 7), ('(get-item 0 (read-bytes (set-bit (ptr-of-buffer (size 2)) (size 9) true) (size 2)))', b"\0\2"),
+    ('(get-item 0 (float-of-ptr (ptr-of-string " 0x1.8p1,2")))', 3.0), ('(offset (get-item 1 (i32-of-ptr (ptr-of-string "-42;7"))))', 3), ('(rem-size (ptr-of-ptr (ptr-of-string "hello") (size 1) (size 3)))', 2), ('(get-item 0 (char-of-ptr (ptr-of-string "x")))', "x"),
+    ('(while 20 (u8 1) (fun ("u8") (gt (u8 100) (param 0))) (fun ("u8") (mul (param 0) (u8 2))))', 128), ('(seq (for-each "c" "" (assert false)) (u8 5))', 5), ('(insert (insert (insert (sliding-window "u8" (u8 2)) (u8 3)) (u8 1)) (u8 9))', [1, 9]), ('(del-min (insert (insert (heap "u8") (u8 3)) (u8 1)) (u8 1))', [3]),
+    ('((fun ("i64") (if (gt (i64 2) (param 0)) (i64 1) (mul (param 0) (myself (sub (param 0) (i64 1)))))) (i64 10))', 3628800), ('(apply-mask (mask-get 1 (mask "(X(_X))")) (make-tup (u8 1) (u8 2)))', 2), ("(pow (i64 3) (i64 41))", (3**41 + 2**63) % 2**64 - 2**63), ("(pow (u8 3) (u8 200))", pow(3, 200, 256)),
+    ("(mul (i64 -9223372036854775808) (i64 -9223372036854775808))", 0), ("(sub (i64 -9223372036854775808) (i64 1))", 2**63 - 1), ("(mul (u64 18446744073709551615) (u64 18446744073709551615))", 1), ("(add (u64 18446744073709551615) (u64 2))", 1), ("(left-shift (u64 3) (u8 63))", 2**63), ("(right-shift (u64 18446744073709551615) (u8 63))", 1), ("(mul (i56 -36028797018963967) (i56 3))", (-36028797018963967 * 3 + 2**55) % 2**56 - 2**55),
+]
+
+
+@pytest.mark.parametrize("text,want", CURSORS, ids=[c[0][:40] for c in CURSORS])
+def test_cursors_loops_and_words(value, text, want):
+    got = value(text)
+    assert bytes(got) == want if isinstance(want, bytes) else got == want
+
+
+@pytest.mark.parametrize("text", [
+    '(get-item 0 (read-u16 big-endian (ptr-of-string "A")))', '(while 3 (u8 1) (fun ("u8") true) (fun ("u8") (param 0)))', "(write-u8 (ptr-of-buffer (size 0)) (u8 1))", '(rewind (ptr-of-string "a") (size 1))', '(get-item 0 (u8-of-ptr (ptr-of-string "300")))', "(ptr-of-address (address 1) (size 1))",
+    '(seq (for-each "x" (make-vec (u8 1) (u8 0)) (assert (gt x (u8 0)))) (u8 5))', '((fun ("i64") (if (gt (i64 0) (param 0)) (i64 1) (myself (param 0)))) (i64 10))',
+])
+def test_beyond_the_end(value, text):
+    with pytest.raises(Exception):  # noqa: B017  Spark's own error
+        value(text)
+
+
+def test_random_numbers_are_drawn_once(spark):
+    """A sum that mentions its parts several times has one draw of each."""
+    rows = spark.range(200).select(evaluate("(let \"x\" (random-u64) (sub x x))").cast("string").alias("other"), evaluate("(to-u64 (to-i128 (random-u64)))").cast("string").alias("x")).collect()
+    assert len({r.x for r in rows}) == 200 and all(0 <= int(r.x) < 2**64 for r in rows)
