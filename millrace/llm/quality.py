@@ -145,13 +145,15 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on labelled rows, at most ``sample`` of them (by hash of doc_id, so that the choice repeats).
 
-    Only the statistics reach the driver. Rows with a null id, text or label teach nothing.
+    The chosen labels, ``sample`` rows of an id and a label, go to all tasks, so that no text is shuffled. Only the
+    statistics reach the driver, at most ``sample`` rows of them: where documents share an id, those of the smallest
+    ids and statistics. Rows with a null id, text or label teach nothing.
     """
     known = take(labels, _id=doc_id, y=label).where("_id is not null and y is not null")
     known = known.orderBy(F.xxhash64("_id"), "_id", "y").limit(sample)
     stats = statistics(F.col("text"))
-    rows = take(docs, _id=doc_id, text=text).where("text is not null").join(known, "_id").select("_id", "y", *[c.alias(n) for n, c in stats.items()]).toPandas()
-    rows = rows.sort_values(list(rows.columns), kind="stable").head(sample)
+    rows = take(docs, _id=doc_id, text=text).where("text is not null").join(F.broadcast(known), "_id").select("_id", "y", *[c.alias(n) for n, c in stats.items()])
+    rows = rows.orderBy(*rows.columns).limit(sample).toPandas()
     return fit_rules(list(stats), rows[list(stats)].to_numpy(float), rows["y"].to_numpy(float))
 
 
