@@ -71,11 +71,11 @@ def run(spark: SparkSession, args: list[str]) -> list[str] | None:
             df = keyvalue.query(df, a.key_schema, base.codec(a.input_enc, a.key_schema, **inner).one(a.key.encode()))
         return _lines(keyvalue.dump(df, a.key_schema, a.value_schema, a.kv_delim, a.output_enc, **outer), "entry", a.output)
     m = parse(a.schema)
-    df = base.read(spark, a.input, a.input_enc, m, a.delimiter, **inner)
+    placed = "_at" if a.command == "aggregator" and a.order is None else None
+    df = base.read(spark, a.input, a.input_enc, m, a.delimiter, placed, **inner)
     if a.where:
         df = where(df, m, a.where)
     if a.command == "aggregator":
-        df = df.withColumn("_at", F.monotonically_increasing_id()) if a.order is None else df
         df, m = aggregate(df, m, a.init, a.update, a.finalize, order=a.order or "_at")
         made = base.codec(a.output_enc, m, **outer)
         return _lines(df.select(F.decode(base.encode_column(F.col("value"), made), "utf-8").alias("line")), "line", a.output)

@@ -313,3 +313,30 @@ def _wire(name: str, **options):
 
 def _little(x: str, n: int) -> str:
     return " || ".join(f"lpad(upper(to_hex(({x} // {1 << 8 * k}) % 256)), 2, '0')" for k in range(n))
+
+
+NAME = "hex(encode(n_name))"
+SIZE = "octet_length(encode(n_name))"
+
+#: The bytes of a nation in each encoding, in SQL.
+WIRES = {
+    "s_expr": "hex(encode('(' || n_nationkey || ' \"' || n_name || '\" ' || n_regionkey || ')'))",
+    "json": "hex(encode('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}'))",
+    "csv": "hex(encode(n_nationkey || ',\"' || n_name || '\",' || n_regionkey))",
+    "row_binary": f"{_little('n_nationkey', 4)} || {_little(SIZE, 1)} || {NAME} || {_little('n_regionkey', 1)}",
+    "ringbuf": f"'01000000' || {_little('n_nationkey', 4)} || {_little(SIZE, 4)} || {NAME} || repeat('00', CAST((4 - {SIZE} % 4) % 4 AS INTEGER)) || {_little('n_regionkey', 4)}",
+}
+for _name, _sql in WIRES.items():
+    _run = _wire(_name.replace("_", "-"))
+    _run.__name__ = f"q_wire_{_name}"
+    query(f"SELECT n_nationkey, {_sql} AS bytes FROM nation")(_run)
+
+
+@query("SELECT n_nationkey, '[' || n_nationkey || ',' || n_regionkey || ']' AS as_json, '(' || n_nationkey || ' ' || n_regionkey || ')' AS as_s_expr, n_nationkey || '|' || n_regionkey AS as_csv, '2 (' || n_nationkey || ' ' || n_regionkey || ')' AS counted, CASE WHEN n_regionkey = 0 THEN 'null' ELSE CAST(n_regionkey AS VARCHAR) END AS nullable FROM nation")
+def q_wire_texts(spark, sf):
+    """Containers, options and NULL in text encodings."""
+    text_of = lambda c, name, t, **o: F.decode(encode_column(c, codec(name, t, **o)), "utf-8")
+    pair, both = F.struct(F.col("n_nationkey").alias("_1"), F.col("n_regionkey").alias("_2")), F.array("n_nationkey", "n_regionkey")
+    return table(spark, sf, "nation").select(
+        "n_nationkey", text_of(pair, "json", "(i32; i32)").alias("as_json"), text_of(both, "s-expr", "i32[2]").alias("as_s_expr"), text_of(pair, "csv", "(i32; i32)", sep="|").alias("as_csv"), text_of(both, "s-expr", "i32[]").alias("counted"), text_of(F.nullif("n_regionkey", F.lit(0)), "s-expr", "i32?").alias("nullable"),
+    )

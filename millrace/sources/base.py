@@ -5,11 +5,12 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import wide
+from ..functions.numbers import in_range
 from ..plans.types import INTEGERS, Maybe, SchemaError, develop, parse, to_schema, to_spark
 
 
@@ -139,67 +140,95 @@ def _columns(m: Maybe) -> bool:
     return develop(m.typ).kind in ("rec", "tup")
 
 
+def in_width(n: int, m: Maybe) -> int:
+    """An integer that text spells: one beyond the declared width is no value of the type."""
+    low, high = in_range(k) if (k := develop(m.typ).kind) in INTEGERS else (0, (1 << 63) - 1)
+    if not low <= n <= high:
+        raise DecodeProblem(f"{n} is no {m}")
+    return n
+
+
+def _arrow(m: Maybe):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(to_spark(m))
+
+
+PLACE = "struct<file:string,block:bigint,line:bigint,k:int>"
+
+
 def _decoded(blob: bytes, whole: bool):
     made: Codec = pickle.loads(blob)
+    kind = pa.struct([("file", pa.string()), ("block", pa.int64()), ("line", pa.int64()), ("k", pa.int32())])
 
     def run(batches):
+        value = _arrow(made.m)
         for batch in batches:
-            rows = []
-            for data in batch["content"]:
-                data = bytes(data) if not isinstance(data, str) else data.encode()
-                for v in made.values(data) if whole else [made.one(data)]:
-                    row = to_row(v, made.m)
-                    rows.append({"value": row})
-            yield pd.DataFrame(rows, columns=["value"])
+            rows, places = [], []
+            for data, file, block, line in zip(*(batch.column(c) for c in ("content", "file", "block", "line"))):
+                at = {"file": file.as_py(), "block": block.as_py(), "line": line.as_py()}
+                for k, v in enumerate(made.values(data.as_py()) if whole else [made.one(data.as_py())]):
+                    rows.append(to_row(v, made.m))
+                    places.append({**at, "k": k})
+                    if len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(rows, value), pa.array(places, kind)], ["value", "place"])
+                        rows, places = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(rows, value), pa.array(places, kind)], ["value", "place"])
 
     return run
 
 
-def read(spark: SparkSession, path: str, name: str, m: Maybe | str, delimiter: str | None = None, **options) -> DataFrame:
-    """The values in files. With a ``delimiter`` of records (CSV has the newline) files are split; otherwise each file
-    is one piece of work, as its records cannot be told apart from the middle. Flat CSV of plain scalars is read by
-    Spark's own reader.
+def read(spark: SparkSession, path: str, name: str, m: Maybe | str, delimiter: str | None = None, place: str | None = None, **options) -> DataFrame:
+    """The values in files. With a ``delimiter`` of records (CSV has the newline) files are split, at any size. Without
+    one, records cannot be told apart from the middle: each file is then one piece of work, of 2 GB at most, so
+    write large inputs as several files. ``place``: a column that orders the values as files have them.
     """
     made = codec(name, m, **options)
     if delimiter is None and made.framed:
         delimiter = options.get("newline", "\n")
     if delimiter:
-        source = spark.read.option("lineSep", delimiter).text(path).where("value != ''").select(F.encode("value", "utf-8").alias("content"))
+        source = spark.read.option("lineSep", delimiter).text(path).where("value != ''").select(F.encode("value", "utf-8").alias("content"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     else:
-        source = spark.read.format("binaryFile").load(path).select("content")
-    return _table(source, made, True)
+        source = spark.read.format("binaryFile").load(path).select("content", F.col("path").alias("file"), F.lit(0).cast("long").alias("block"))
+    return _table(source.withColumn("line", F.monotonically_increasing_id()), made, True, place)
 
 
-def _table(source: DataFrame, made: Codec, whole: bool) -> DataFrame:
-    kind = to_spark(made.m)
+def _table(source: DataFrame, made: Codec, whole: bool, place: str | None = None) -> DataFrame:
     from pyspark.sql import types as S
 
-    out = source.mapInPandas(_decoded(pickle.dumps(made), whole), S.StructType([S.StructField("value", kind, True)]))
-    if not _columns(made.m):
-        return out
-    return out.select(*[F.col("value").getField(f.name).alias(f.name) for f in to_schema(made.m)])
+    out = source.mapInArrow(_decoded(pickle.dumps(made), whole), S.StructType([S.StructField("value", to_spark(made.m), True), S.StructField("place", S._parse_datatype_string(PLACE), True)]))
+    named = [F.col("value").getField(f.name).alias(f.name) for f in to_schema(made.m)] if _columns(made.m) else ["value"]
+    return out.select(*named, *([F.col("place").alias(place)] if place else []))
 
 
 def encode_column(value: Column, made: Codec) -> Column:
-    """The bytes of a column of values (a struct for records and tuples)."""
+    """The bytes of a column of values (a struct for records and tuples).
+
+    Text encodings of most types are made by Spark's own functions; the others by Python, a batch at a time.
+    """
+    from .columns import text_column
+
+    text = text_column(value, made)
+    if text is not None:
+        return F.encode(text, "utf-8")
     blob = pickle.dumps(made)
 
-    @F.udf("binary", useArrow=True)
-    def run(v):
+    @F.arrow_udf("binary")
+    def run(v: pa.Array) -> pa.Array:
         c = _loaded(blob)
-        return c.encode(from_row(v, c.m))
+        return pa.array([c.encode(from_row(x, c.m)) for x in v.to_pylist()], pa.binary())
 
     return run(value)
 
 
 def decode_column(data: Column, made: Codec) -> Column:
-    """The value that each row's bytes are; NULL for NULL."""
+    """The value that each row's bytes are; NULL for NULL. A batch at a time."""
     blob = pickle.dumps(made)
 
-    @F.udf(to_spark(made.m), useArrow=True)
-    def run(v):
+    @F.arrow_udf(to_spark(made.m))
+    def run(v: pa.Array) -> pa.Array:
         c = _loaded(blob)
-        return None if v is None else to_row(c.one(bytes(v)), c.m)
+        return pa.array([None if x is None else to_row(c.one(x), c.m) for x in v.to_pylist()], _arrow(c.m))
 
     return run(data)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.wide import hex_float
 from ..plans.types import INTEGERS, Maybe, SchemaError, develop
-from .base import Codec, DecodeProblem, register
+from .base import Codec, DecodeProblem, in_width, register
 
 
 @register
@@ -181,7 +181,7 @@ class Csv(Codec):
     def _scalar(self, text: str, t, m: Maybe):
         try:
             if t.kind in INTEGERS or t.kind == "size":
-                return int(text)
+                return in_width(int(text), m)
             match t.kind:
                 case "bool":
                     return text[:1] == self.true[:1]
@@ -189,6 +189,8 @@ class Csv(Codec):
                     return float.fromhex(text) if "x" in text.lower() else float(text)
                 case "bytes":
                     return text.encode("utf-8", "surrogateescape")
+        except DecodeProblem:
+            raise
         except ValueError:
             raise DecodeProblem(f"{text!r} is no {m}") from None
         return text

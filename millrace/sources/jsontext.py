@@ -6,7 +6,7 @@ import json
 
 from ..functions.wide import short_float
 from ..plans.types import INTEGERS, Maybe, develop, zero
-from .base import Codec, DecodeProblem, register
+from .base import Codec, DecodeProblem, in_width, register
 
 _BLANK = b" \t\r\n"
 _ESCAPE = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
@@ -104,9 +104,9 @@ class Json(Codec):
             return None
         wrong = DecodeProblem(f"{raw!r} is no {m}")
         if t.kind in INTEGERS or t.kind == "size":
-            if isinstance(raw, bool) or not isinstance(raw, (int, float)) or raw != int(raw):
+            if isinstance(raw, bool) or not isinstance(raw, (int, float)) or isinstance(raw, float) and not raw.is_integer():
                 raise wrong
-            return int(raw)
+            return in_width(int(raw), m)
         match t.kind:
             case "bool":
                 if not isinstance(raw, bool):
@@ -115,7 +115,10 @@ class Json(Codec):
             case "float":
                 if isinstance(raw, bool) or not isinstance(raw, (int, float)):
                     raise wrong
-                return float(raw)
+                try:
+                    return float(raw)
+                except OverflowError:
+                    raise wrong from None
             case "string" | "char":
                 if not isinstance(raw, str):
                     raise wrong

@@ -172,3 +172,27 @@ def test_columns_and_files(spark, tmp_path):
     (tmp_path / "rows.bin").write_bytes(b"".join(codec("row-binary", "u16").encode(i) for i in range(1000)))
     assert read(spark, str(tmp_path / "rows.bin"), "row-binary", "u16").agg(F.sum("value")).first()[0] == 499500
     write(df, "", "null", m)
+
+
+@pytest.mark.parametrize("name,options", [("s-expr", {}), ("s-expr", {"counts": False}), ("s-expr", {"strict": True}), ("csv", {}), ("csv", {"sep": "|", "quote": None}), ("csv", {"strict": True, "null": ""})])
+def test_encoders_of_columns_are_those_of_python(spark, name, options):
+    from millrace.functions.library import random_value
+    from millrace.plans.types import parse
+    from millrace.sources import codec, encode_column
+    from millrace.sources.base import from_row
+    from millrace.sources.columns import text_column
+
+    m = parse("{a: u8; b: string?; c: i16[3]; d: [x bool | y i32]; e: u32[]; f: (string; bool); g: float; h: u64; j: i40?[]}")
+    made = codec(name, m, **options)
+    rows = spark.range(60).select(random_value(m, 5).alias("v")).cache()
+    assert text_column(rows["v"], made) is not None
+    got = rows.select("v", encode_column(rows["v"], made).alias("x")).collect()
+    assert [bytes(r["x"]) for r in got] == [made.encode(from_row(r["v"].asDict(True), m)) for r in got]
+
+
+@pytest.mark.parametrize("name,text", [("json", b"300"), ("json", b"-1"), ("json", b"1e999"), ("csv", b"300"), ("csv", b"-1"), ("s-expr", b"300"), ("s-expr", b"-1")])
+def test_integers_beyond_their_width_are_no_values(name, text):
+    from millrace.sources import DecodeProblem, codec
+
+    with pytest.raises(DecodeProblem):
+        codec(name, "u8").one(text)

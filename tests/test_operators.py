@@ -152,3 +152,45 @@ def test_streams(spark, tmp_path):
     assert sum(r["n"] for r in run(windows.hopping(source(), [], "t", "20 seconds", "10 seconds", "10 seconds", F.count("*").alias("n")), "complete")) == 20
     got = run(windows.last_n(source(), "k", "t", "v", 3), "update")
     assert [list(r["items"]) for r in got] == [[28, 32, 36]]
+
+
+def test_rows_and_nets(spark):
+    from millrace.operators import rows
+
+    df = spark.createDataFrame([(1, "a", None), (5, "b", 2), (9, "c", 3)], "x int, s string, n int")
+    t = parse("{x: i32; s: string; n: i32?}")
+    assert [r.x for r in rows.where(df, t, '(fun ("{x: i32; s: string; n: i32?}") (and (gt (get-field "x" (param 0)) (i32 1)) (ne (get-field "s" (param 0)) "c")))').collect()] == [5]
+    with pytest.raises(TypeProblem):
+        rows.where(df, t, '(fun ("{x: i32; s: string; n: i32?}") (get-field "x" (param 0)))')
+    nets = spark.createDataFrame([((0x0A000000, 8),), ((0x0A010000, 16),), ((0xC0A80100, 24),), (None,)], "net struct<ip:long,mask:int>")
+    ips = spark.createDataFrame([(0x0A0B0C0D,), (0x0B000000,), (0xC0A801FF,), (0xC0A80200,), (None,)], "ip long")
+    assert sorted(r.ip for r in accumulators.members_of_nets(ips, "ip", nets, "net").collect()) == [0x0A0B0C0D, 0xC0A801FF]
+    assert accumulators.members_of_nets(ips, "ip", nets, "net", inside=False).count() == 3
+    six = spark.createDataFrame([((bytes.fromhex("20010db8" + "00" * 12), 32),)], "net struct<ip:binary,mask:int>")
+    ip6 = spark.createDataFrame([(bytes.fromhex("20010db8" + "ff" * 12),), (bytes.fromhex("20010db9" + "00" * 12),)], "ip binary")
+    assert accumulators.members_of_nets(ip6, "ip", six, "net", wide=True).count() == 1
+
+
+def test_whole_tables_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(accumulators, "PIECE", 7)
+    df = spark.range(40).select((F.col("id") * 13 % 40).alias("t")).repartition(5)
+    got = {r.t: r["items"] for r in accumulators.running(df, [], "t", 4, "t").collect()}
+    assert got == {i: list(range(max(0, i - 3), i + 1)) for i in range(40)}
+    assert {r.t: r["items"] for r in accumulators.running(df, [], "t", 1, "t").collect()} == {i: [i] for i in range(40)}
+    assert accumulators.heap(df, [], "t", 3, 4).first()["items"] == [3, 4, 5, 6]
+    sample = lambda n: {r.t for r in accumulators.sampling(df.repartition(n), [], 9, 1).collect()}
+    assert sample(1) == sample(7) and len(sample(1)) == 9
+
+
+def test_scaled_weights_without_keys(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(9)], "at int, value string")
+    update = '(fun ("string{top}" "string") (seq (scale-weights (param 0) (float 0.1)) (insert-weighted (param 0) (float 1.0) (param 1))))'
+    got, _ = aggregate(df, parse("string"), '(top "string" (u8 2) (u8 9))', update, '(fun ("string{top}") (param 0))', order="at")
+    assert got.first()[0] == ["a", "b"]
+
+
+def test_commands_see_files_in_order(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("".join(f"{10 * k + i}\n" for i in range(5 * (3 - k))))
+    args = ["aggregator", "--schema", "i32", "-i", str(tmp_path), "--input-enc", "csv", "-w", '(fun ("i32") (ne (param 0) (i32 24)))', "--init", '(sliding-window "i32" (u8 3))', "--update", '(fun ("i32{sliding}" "i32") (insert (param 0) (param 1)))', "--finalize", '(fun ("i32{sliding}") (param 0))']
+    assert cli.run(spark, args) == ["3 (21 22 23)"]
