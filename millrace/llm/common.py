@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def tune(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch holds: texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound what one Arrow batch holds: texts can be long. The session keeps the setting, as results are lazy."""
+    spark.conf.set(BATCH, str(rows))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Batches of so many rows for what is written within; whatever happens, the setting before comes back."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
 
 
 def take(df: DataFrame, **names: str) -> DataFrame:
@@ -40,22 +56,68 @@ def flat(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that all executors share (spark.checkpoint.dir). Only a local session, as in tests, may do without:
+    it gets a temporary one; on a cluster a folder of one machine would lose rows, so that is an error.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
+#: Folders written by stored() that are still there.
+_folders: list[str] = []
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors. Also the folder.
+
+    It goes when the driver ends, or earlier by ``forget``.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    files, path = _path(spark, folder)
+    files.deleteOnExit(path)
+    _folders.append(folder)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def saved(df: DataFrame, what: str) -> DataFrame:
+    return stored(df, what)[0]
+
+
+def folders() -> list[str]:
+    """What stored() has written and nobody has removed."""
+    return list(_folders)
+
+
+def forget(spark: SparkSession, gone: list[str]) -> None:
+    """Remove folders of which nothing is read any more."""
+    for folder in gone:
+        files, path = _path(spark, folder)
+        files.delete(path, True)
+        files.cancelDeleteOnExit(path)
+        if folder in _folders:
+            _folders.remove(folder)
+
+
+def exploded(df: DataFrame, array: Column, into: str) -> DataFrame:
+    """A row for each item of an array that holds no nulls. A plain explode would make the optimizer compute the array
+    once more for a filter on its size.
+    """
+    return df.select(*df.columns, F.explode_outer(array).alias(into)).where(F.col(into).isNotNull())
 
 
 def fold(doc_id: str, modulus: int) -> Column:
@@ -137,6 +199,18 @@ def lists(column) -> tuple[np.ndarray, np.ndarray]:
     return values, (offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64))
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a Python worker lives on between stages, beside others."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def spans(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Cut rows into runs of at most ``most`` values each; a longer row stands alone."""
     out, begin = [], 0

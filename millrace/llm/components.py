@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, stored
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -22,7 +22,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     but a count and a checksum. Nodes without edges do not appear. Edges with a null end and loops are ignored.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a != b").distinct()
-    e = saved(e, "edges")
+    e, folder = stored(e, "edges")
     before = _sum(e)
     for _ in range(rounds):
         if not before[0]:
@@ -33,8 +33,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(least, "u")
         small = tied.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = saved(small.where("u != v").distinct(), "edges")
+        older = folder
+        e, folder = stored(small.where("u != v").distinct(), "edges")
         after = _sum(e)
+        forget(e.sparkSession, [older])
         if after == before:
             break
         before = after

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, take, tune
+from .common import batches_of, saved, take, tune
 from .components import components
 
 COSINE = 0.98
@@ -301,12 +301,10 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     shards = saved(dealt.select("label", "part", "node", "copies", "unit").groupBy("label", "part").applyInArrow(_blocks("part"), kind), "shards")
     asks = saved(dealt.select("label", "block", "node", "copies", "unit").groupBy("label", "block").applyInArrow(_blocks("block"), kind), "queries")
     asks = asks.select("label", F.col("nodes").alias("q_nodes"), F.col("units").alias("q_units"), F.col("part").alias("q"))
-    # a row is now a whole shard or block
-    tune(spark, 1)
-    graphs = saved(shards.repartition("label", "part").mapInArrow(_graphs(least), kind + ", graph binary"), "graphs")
-    met = graphs.join(asks, "label").repartition("label", "part", "q")
-    found = saved(met.mapInArrow(_compare(least), "a long, n long, b long"), "found")
-    tune(spark)
+    with batches_of(spark, 1):  # a row is now a whole shard or block
+        graphs = saved(shards.repartition("label", "part").mapInArrow(_graphs(least), kind + ", graph binary"), "graphs")
+        met = graphs.join(asks, "label").repartition("label", "part", "q")
+        found = saved(met.mapInArrow(_compare(least), "a long, n long, b long"), "found")
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     reach = saved(components(found.where("b is not null").select("a", "b")), "classes")
     each = nodes.select("label", "key", "node", "copies")
