@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import take, tune
+from .common import give_back, take, tune
 
 #: Characters of text in a block; words are distinct within a block before they are shuffled.
 BLOCK = 6_000_000
@@ -34,7 +34,7 @@ class Vocabulary:
         return {"raw": self.raw, "pattern": self.pattern, "_made": None}
 
     def parts(self):
-        """(compiled pattern, ranks by bytes, bytes by rank, decimal text by rank)."""
+        """(compiled pattern, ranks by bytes, bytes by rank)."""
         if self._made is None:
             import regex
 
@@ -92,7 +92,10 @@ def _unpack(x: bytes) -> np.ndarray:
 
 
 #: Ranks below this are symbols of their own; larger ones are a symbol for their bit length and the bits after the first.
-OWN = 240
+#: The 24 symbols left are for lengths up to 31 bits: all that an array's places need.
+OWN, LOW_BIT, BITS = 232, 7, 24
+#: Bytes of words whose ids a task remembers; beyond, it forgets them all and starts again.
+KNOWN = 32_000_000
 
 
 def _squeeze(x: bytes) -> bytes:
@@ -112,8 +115,10 @@ def _pack_ranks(x: np.ndarray) -> list[bytes]:
     bits = np.zeros(len(x), np.int64)
     large = x >= OWN
     bits[large] = np.floor(np.log2(x[large])).astype(np.int64)
-    out = [_squeeze(np.where(large, OWN + bits - 7, x).astype(np.uint8).tobytes())]
-    for k in range(7, 23):
+    out = [_squeeze(np.where(large, OWN + bits - LOW_BIT, x).astype(np.uint8).tobytes())]
+    if len(x) and bits.max() >= LOW_BIT + BITS:
+        raise ValueError("a block has 2**31 different words or more")
+    for k in range(LOW_BIT, LOW_BIT + BITS):
         out.append(_pack(x[bits == k] - (1 << k)) if (bits == k).any() else b"")
     return out
 
@@ -121,16 +126,16 @@ def _pack_ranks(x: np.ndarray) -> list[bytes]:
 def _unpack_ranks(parts: list[bytes]) -> np.ndarray:
     symbol = _loose(parts[0], np.uint8).astype(np.int64)
     out = symbol.copy()
-    for k, part in zip(range(7, 23), parts[1:]):
+    for k, part in zip(range(LOW_BIT, LOW_BIT + BITS), parts[1:]):
         if part:
-            out[symbol == OWN + k - 7] = _unpack(part).astype(np.int64) + (1 << k)
+            out[symbol == OWN + k - LOW_BIT] = _unpack(part).astype(np.int64) + (1 << k)
     return out
 
 
 ROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("rows", pa.binary()), ("data", pa.binary())])
 
 
-def _explode(sent, width: int):
+def _explode(sent, width: int, size: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -148,11 +153,12 @@ def _explode(sent, width: int):
             # words by frequency, so that small numbers are frequent ones
             at = np.concatenate(positions)
             order = np.argsort(-np.bincount(at, minlength=len(ids)), kind="stable")
-            rank = np.empty(len(ids), np.int64)
-            rank[order] = np.arange(len(ids))
-            raw = [w.encode() for w in ids]
-            raw = [raw[i] for i in order]
-            part = np.array([zlib.crc32(w) for w in raw], np.int64) % width
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            raw = list(ids)
+            ids.clear()
+            raw = [raw[i].encode() for i in order.tolist()]
+            part = np.fromiter((zlib.crc32(w) for w in raw), np.int64, len(raw)) % width
             out = {c: [] for c in ROW.names}
 
             def row(*values):
@@ -171,14 +177,16 @@ def _explode(sent, width: int):
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = text or ""
-                if held and held + len(text) > BLOCK:
+                if held and held + len(text) > size:
                     yield block(keys, texts)
+                    give_back()
                     keys, texts, held = [], [], 0
                 keys.append(key)
                 texts.append(text)
                 held += len(text)
         if keys:
             yield block(keys, texts)
+        give_back()
 
     return run
 
@@ -189,6 +197,7 @@ def _encode(sent):
 
         ranks = sent.value.parts()[1]
         known: dict[bytes, bytes] = {}
+        held = 0
         for batch in batches:
             out = []
             for kind, rows, data in zip(batch.column("kind").to_pylist(), batch.column("rows").to_pylist(), batch.column("data").to_pylist()):
@@ -201,17 +210,24 @@ def _encode(sent):
                         got = known.get(word)
                         if got is None:
                             got = known[word] = np.array(merge(word, ranks), np.uint32).tobytes()
+                            held += len(word) + len(got) + 150
                         ids.append(got)
                     rows = _pack(np.array([len(x) // 4 for x in ids]))
                     data = _pack(np.frombuffer(b"".join(ids), np.uint32))
+                    if held > KNOWN:
+                        known.clear()
+                        held = 0
                 out.append((rows, data))
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("block"), batch.column("kind"), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], schema=ROW)
+        known.clear()
+        give_back()
 
     return run
 
 
 def _reassemble(table: pa.Table) -> pa.Table:
     kinds, rows, data = (table.column(c).to_pylist() for c in ("kind", "rows", "data"))
+    give_back()
     k = kinds.index(-1)
     head, part = pickle.loads(rows[k])
     keys, valid, counts = np.frombuffer(head, np.int64).reshape(3, -1)
@@ -234,11 +250,12 @@ def _reassemble(table: pa.Table) -> pa.Table:
     return pa.table({"_key": pa.array(keys, mask=valid == 0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))})
 
 
-def encode(docs: DataFrame, text: str, key: str, vocabulary: Vocabulary) -> DataFrame:
+def encode(docs: DataFrame, text: str, key: str, vocabulary: Vocabulary, block: int = BLOCK) -> DataFrame:
     """Columns _key (the long column ``key``) and ids (array of int): the tokens of each text.
 
-    Texts are split by the vocabulary's pattern; each block of texts (about 4 MB, or one longer text) sends its
-    distinct words, by hash, to the task that encodes them, which meets each distinct word of the corpus once, and
+    Texts are split by the vocabulary's pattern; each block of texts (``block`` characters, or one longer text) sends its
+    distinct words, by hash, to the task that encodes them, which merges each distinct word of the corpus once (again only after
+    it has had to forget 32 MB of them), and
     sends the ids back to the block, where the positions have stayed in order. Words, positions and ids travel packed.
     A hot word travels once for each block. Null texts are empty; an empty text has an empty array.
     """
@@ -247,7 +264,7 @@ def encode(docs: DataFrame, text: str, key: str, vocabulary: Vocabulary) -> Data
     sent = spark.sparkContext.broadcast(vocabulary)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = "part int, block long, kind int, rows binary, data binary"
-    words = take(docs, key=key, text=text).select(F.col("key").cast("long"), "text").mapInArrow(_explode(sent, width), kind)
+    words = take(docs, key=key, text=text).select(F.col("key").cast("long"), "text").mapInArrow(_explode(sent, width, block), kind)
     ids = words.repartition(width, "part").mapInArrow(_encode(sent), kind)
     return ids.groupBy("block").applyInArrow(_reassemble, "_key long, ids array<int>")
 
@@ -255,22 +272,13 @@ def encode(docs: DataFrame, text: str, key: str, vocabulary: Vocabulary) -> Data
 def decode(rows: DataFrame, ids: str, vocabulary: Vocabulary, into: str = "_bytes") -> DataFrame:
     """All columns of ``rows`` and ``into``: the bytes that the ids stand for; a null array gives null.
 
-    The token table is bounded by the vocabulary file and is joined in memory, where its rank is its place. An id
-    without a token raises.
+    The token table, bounded by the vocabulary file, is met where its rank is its place: a constant array of the
+    tokens' bytes in the plan, so that ids are joined to it without a shuffle and without Python. An id without a
+    token raises.
     """
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(vocabulary)
-
-    @F.arrow_udf("binary")
-    def spell(column: pa.Array) -> pa.Array:
-        table = sent.value.parts()[2]
-        if not len(column):
-            return pa.array([], pa.binary())
-        offsets, valid = column.offsets.to_pylist(), column.is_valid().to_pylist()
-        values = column.values.slice(offsets[0], offsets[-1] - offsets[0]).to_pylist()
-        first, out = offsets[0], []
-        for ok, begin, end in zip(valid, offsets, offsets[1:]):
-            out.append(b"".join(map(table.__getitem__, values[begin - first : end - first])) if ok else None)
-        return pa.array(out, pa.binary())
-
-    return rows.withColumn(into, spell(F.col(ids)))
+    table = vocabulary.parts()[2]
+    # tokens as hexadecimal text; a rank that has none is empty
+    spelled = F.split(F.lit(",".join("" if t is None else t.hex() for t in table)), ",")
+    missing = F.raise_error(F.lit("an id has no token")).cast("string")
+    token = lambda i: F.coalesce(F.nullif(F.get(spelled, i), F.lit("")), missing)
+    return rows.withColumn(into, F.unhex(F.array_join(F.transform(F.col(ids), token), "")))
