@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, langid, neardup, queries, sentences
-from millrace.llm.common import flat, shared_dir, table
+from millrace.llm.common import flat, folders, forget, stored, table
 
 #: Documents whose likeliest language is less likely than this are rejected.
 SURE = 0.5
@@ -42,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded bytes."""
     words = queries.vocabulary()
-    return queries.digests(bpe.decode(bpe.encode(docs, "text", "doc_id", words), "ids", words))
+    return queries.digests(bpe.decode(bpe.encode(docs, "text", "doc_id", words, 2_000_000), "ids", words))
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("byte_bpe", byte_bpe)]
@@ -52,9 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages, each written to the shared folder; once that is done, the stage's input and other tables go."""
+    docs, others = table(spark, sf_dir, "documents"), folders()
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs, written = stored(stage(spark, docs, sf_dir), name)
+        forget(spark, [f for f in folders() if f != written and f not in others])
     return docs

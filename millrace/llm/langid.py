@@ -14,7 +14,8 @@ from .common import take, tune
 UNKNOWN = "und"
 GRAMS = (1, 2, 3)
 BUCKETS = 1 << 15
-PIECE = 1 << 19
+#: Characters that one numpy step handles: its arrays stay near 1 MB.
+PIECE = 1 << 17
 BLOCK = 64
 SMOOTHING = 0.25
 KIND = "best string, top double, rest double, letters boolean"
