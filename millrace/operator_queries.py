@@ -124,7 +124,7 @@ def q_chars(spark, sf):
 
 
 @query("""
-SELECT n_nationkey, CAST(CAST(1023 + n_nationkey AS HUGEINT) * 4503599627370496 AS VARCHAR) AS bits, pow(2, n_nationkey) AS again, '0x1p+' || n_nationkey AS hexed, CAST(CAST(pow(2, n_nationkey) AS BIGINT) AS VARCHAR) AS plain, n_nationkey + 0.5 AS read,
+SELECT n_nationkey, CAST(CAST(1023 + n_nationkey AS HUGEINT) * 4503599627370496 AS VARCHAR) AS bits, pow(2, n_nationkey) AS again, '0x1p+' || n_nationkey AS hexed, CAST(CAST(pow(2, n_nationkey) AS BIGINT) AS VARCHAR) AS plain, CAST(n_nationkey + 0.5 AS DOUBLE) AS read,
  CASE WHEN n_nationkey = 0 THEN '0x1p-1' ELSE '0x1p-' || (n_nationkey + 1) END AS small FROM nation""")
 def q_float_text(spark, sf):
     e = lambda t: ev(t, n=("n_nationkey", "i32"))
@@ -208,7 +208,7 @@ def q_cursors(spark, sf):
 SMALL = {k: (1 << (n - (k in SIGNED) - 1)) if n < 128 else 10**30 for k, n in INTEGERS.items()}
 
 
-@query("SELECT r_regionkey, " + ", ".join(f"CAST(CAST({v - 5} AS HUGEINT) + r_regionkey AS VARCHAR) AS {k}, CAST({len(str(v - 5))} AS BIGINT) AS {k}_end" for k, v in SMALL.items() if len(str(v - 5)) == len(str(v - 1))) + ", r_regionkey + 0.25 AS f, CAST(5 AS BIGINT) AS f_end, substr(r_name, 1, 1) AS c FROM region")
+@query("SELECT r_regionkey, " + ", ".join(f"CAST(CAST({v - 5} AS HUGEINT) + r_regionkey AS VARCHAR) AS {k}, CAST({len(str(v - 5))} AS BIGINT) AS {k}_end" for k, v in SMALL.items() if len(str(v - 5)) == len(str(v - 1))) + ", CAST(r_regionkey + 0.25 AS DOUBLE) AS f, CAST(5 AS BIGINT) AS f_end, substr(r_name, 1, 1) AS c FROM region")
 def q_spelled_at_cursors(spark, sf):
     """u8-of-ptr to i128-of-ptr, float-of-ptr and char-of-ptr: the number at a cursor, and where it ends."""
     regions = table(spark, sf, "region")

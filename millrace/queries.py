@@ -289,9 +289,9 @@ def q_hashset(spark, sf):
     return accumulators.hash_set(table(spark, sf, "orders"), ["o_orderstatus"], "o_orderpriority")
 
 
-@query()
+@query("SELECT l_returnflag, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY md5(l_orderkey || '|' || l_linenumber || '|7') DESC) AS k FROM lineitem) WHERE k <= 100")
 def q_sampling(spark, sf):
-    return accumulators.sampling(table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber"), ["l_returnflag"], 100, 7)
+    return accumulators.sampling(table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber"), ["l_returnflag"], 100, 7, ["l_orderkey", "l_linenumber"])
 
 
 CUSTOMER = "{c_custkey: i64; c_name: string; c_nationkey: i32; c_acctbal: float; c_mktsegment: string?}"
