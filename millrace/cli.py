@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 from pyspark.sql import SparkSession
@@ -17,6 +18,7 @@ from .operators.aggregate import aggregate
 from .operators.convert import transform
 from .operators.masks import select
 from .operators.rows import where
+from .plans.compile import EXTERNALS
 from .plans.types import parse
 from .sources import base
 
@@ -43,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("-d", "--delimiter", default=None)
         if name in ("converter", "aggregator"):
             c.add_argument("--schema", required=True)
+            c.add_argument("-x", "--external", action="append", default=[], help="name=module:function, for ext-identifier")
             c.add_argument("-w", "--where", default="", help="a predicate: a function of the row")
         else:
             c.add_argument("--key-schema", required=True)
@@ -70,6 +73,10 @@ def run(spark: SparkSession, args: list[str]) -> list[str] | None:
         if a.command == "query":
             df = keyvalue.query(df, a.key_schema, base.codec(a.input_enc, a.key_schema, **inner).one(a.key.encode()))
         return _lines(keyvalue.dump(df, a.key_schema, a.value_schema, a.kv_delim, a.output_enc, **outer), "entry", a.output)
+    for x in a.external:
+        name, _, place = x.partition("=")
+        module, _, attribute = place.partition(":")
+        EXTERNALS[name] = getattr(importlib.import_module(module), attribute) if attribute else importlib.import_module(module)
     m = parse(a.schema)
     placed = "_at" if a.command == "aggregator" and a.order is None else None
     df = base.read(spark, a.input, a.input_enc, m, a.delimiter, placed, **inner)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import network, numbers, wide
+from ..functions import network, numbers, strings, wide
 from ..plans import compile as C
 from ..plans.compile import Lambda, TypeProblem, Value, build_sum, is_signed, to_int, wide_kind
 from ..plans.types import INTEGERS, Maybe, Type, develop, equal, to_spark
@@ -46,7 +46,7 @@ def _convert(v: Value, t: Type) -> tuple[Column, bool]:
         if b.kind in INTEGERS:
             return (wide.of_text(is_signed(b.kind), x) if wide_kind(b.kind) else numbers.parse_int(x, b.kind)), True
         if b.kind == "char":
-            return F.substring(x, 1, 1), False
+            return strings.nth_char(F.lit(0), x), True
         if b.kind == "bytes":
             return F.encode(x, "utf-8"), False
     if b.kind in INTEGERS and (number or a.kind in ("bool", "char")):

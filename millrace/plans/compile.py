@@ -77,6 +77,8 @@ class Env:
         return Env({**self.names, name: value}, self.params, self.externals, self.me)
 
 
+#: Functions from typed columns to a typed column, known to every expression by name (and objects that have such).
+EXTERNALS: dict[str, object] = {}
 OPS: dict[str, Callable] = {}
 SPECIAL: dict[str, Callable] = {}
 #: Other spellings of operators.
@@ -326,8 +328,9 @@ def _identifier(tree, env):
 @special("ext-identifier")
 def _external(tree, env):
     names = [x.value if isinstance(x, Quoted) else x for x in tree[1:]]
-    need(names[0] in env.externals, f"no function is registered as {names[0]}")
-    return env.externals[names[0]] if len(names) == 1 else getattr(env.externals[names[0]], names[1])
+    known = EXTERNALS | env.externals
+    need(names[0] in known, f"no function is registered as {names[0]}")
+    return known[names[0]] if len(names) == 1 else getattr(known[names[0]], names[1])
 
 
 @special("myself")

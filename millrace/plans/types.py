@@ -70,6 +70,7 @@ USER["ip"] = named("Ip", Maybe(Type("sum", (Maybe(USER["ip4"]), Maybe(USER["ip6"
 USER["cidr4"] = _cidr("Cidr4", "ip4")
 USER["cidr6"] = _cidr("Cidr6", "ip6")
 USER["cidr"] = named("Cidr", Maybe(Type("sum", (Maybe(USER["cidr4"]), Maybe(USER["cidr6"])), ("v4", "v6"))))
+USER["globals_map"] = named("globals_map", Maybe(Type("map", (plain("string"), plain("string")))))
 
 
 def text_of(t: Type) -> str:

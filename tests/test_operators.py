@@ -194,3 +194,23 @@ def test_commands_see_files_in_order(spark, tmp_path):
         (tmp_path / f"{k}.csv").write_text("".join(f"{10 * k + i}\n" for i in range(5 * (3 - k))))
     args = ["aggregator", "--schema", "i32", "-i", str(tmp_path), "--input-enc", "csv", "-w", '(fun ("i32") (ne (param 0) (i32 24)))', "--init", '(sliding-window "i32" (u8 3))', "--update", '(fun ("i32{sliding}" "i32") (insert (param 0) (param 1)))', "--finalize", '(fun ("i32{sliding}") (param 0))']
     assert cli.run(spark, args) == ["3 (21 22 23)"]
+
+
+def test_external_functions(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("(4 2)\n")
+    args = ["converter", "--schema", "(i32;i32)", "-i", str(tmp_path / "in.txt"), "-x", "twice=tests.test_operators:twice", "-e", '/0:(fun ("i32") (apply (ext-identifier twice) (param 0)))']
+    assert cli.run(spark, args) == ["(8 2)"]
+
+
+def twice(v):
+    from millrace.plans.compile import OPS
+
+    return OPS["add"](v, v)
+
+
+def test_convert_to_char_and_maps(spark):
+    from millrace.plans.compile import evaluate
+    from millrace.plans.types import to_spark
+
+    assert spark.range(1).select(evaluate('(convert "char?" "xyz")'), evaluate('(convert "char?" "")')).first()[:] == ("x", None)
+    assert to_spark(parse("globals_map")).simpleString() == "map<string,string>"
