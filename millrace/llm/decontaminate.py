@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, take, tune
+from .common import GOLDEN, flat, mix, take, tune
 
 BUDGET = 0.05
-#: Characters of items behind one automaton (about 60 MB); more items make several, met one after another.
-AUTOMATON = 1_000_000
-#: Automata that a worker keeps; a benchmark of more blocks builds them again for each batch, in the same memory.
-KEPT = 8
+#: Characters of items in one broadcast (an index takes about three bytes for each), and in all.
+BLOCK, MOST = 16_000_000, 256_000_000
+#: A piece is met by its first characters, as many of these as it has.
+LENGTHS = (16, 8, 4, 2)
+#: Characters of texts that one numpy step handles; a longer text stands alone.
+STEP = 200_000
 KIND = "array<struct<item_id:long,distance:int>>"
 
-_built: dict[str, object] = {}
-
 
 def normal(text: Column) -> Column:
     """Lower-case words of letters and digits with one blank between and around them."""
@@ -65,34 +64,79 @@ def nearest(pattern: str, text: str) -> int:
     return best
 
 
-def _automaton(items: list[tuple[int, str]], share: float):
-    import ahocorasick
-
-    machine = ahocorasick.Automaton()
-    where: dict[str, list[tuple[int, int]]] = {}
-    for i, (_, item) in enumerate(items):
-        for at, piece in pieces(item, budget(len(item), share)):
-            where.setdefault(piece, []).append((i, at))
-    for piece, owners in where.items():
-        machine.add_word(piece, (len(piece), owners))
-    if where:
-        machine.make_automaton()
-    return machine if where else None
-
-
-def find(text: str, items: list[tuple[int, str]], machine, share: float = BUDGET) -> list[tuple[int, int]]:
-    """(item id, distance) of the items that occur in a normal text within their budgets."""
-    hits: dict[int, list[int]] = {}
-    for end, (length, owners) in machine.iter(text):
-        for i, at in owners:
-            hits.setdefault(i, []).append(end + 1 - length - at)
-    out = []
-    for i, begins in hits.items():
-        key, item = items[i]
-        errors = budget(len(item), share)
+def _runs(codes: np.ndarray):
+    """Hashes of all runs of 2, 4, 8 and 16 codes, by length."""
+    with np.errstate(over="ignore"):
+        h, n = mix(codes.astype(np.uint64) + GOLDEN), 1
+        while n < max(LENGTHS):
+            h = mix(h[:-n] * GOLDEN + h[n:]) if len(h) > n else h[:0]
+            n *= 2
+            yield n, h
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class Index:
+    """The pieces of some items, sorted by the hash of their beginnings."""
+
+    def __init__(self, items: list[tuple[int, str]], share: float = BUDGET):
+        self.items, self.share = items, share
+        parts = [(i, at, len(piece)) for i, (_, item) in enumerate(items) for at, piece in pieces(item, budget(len(item), share))]
+        self.parts = np.array(parts, np.int64).reshape(-1, 3)
+        lengths = self.parts[:, 2]
+        # items are longer than two characters, and so are their pieces
+        self.by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        text = "".join(item for _, item in items)
+        begin = np.cumsum([0, *(len(item) for _, item in items)])[self.parts[:, 0]] + self.parts[:, 1]
+        for n, h in _runs(_codes(text)):
+            most = 2 * n if n < max(LENGTHS) else np.iinfo(np.int64).max
+            mine = np.flatnonzero((lengths >= n) & (lengths < most))
+            if len(mine):
+                values = h[begin[mine]]
+                order = np.argsort(values, kind="stable")
+                bits = min(24, max(12, int(len(mine) * 8).bit_length()))
+                sieve = np.zeros(1 << bits, bool)
+                sieve[values >> np.uint64(64 - bits)] = True
+                self.by[n] = (values[order], mine[order], sieve)
+
+    def hits(self, codes: np.ndarray):
+        """(place, piece) pairs at which the beginning of a piece stands."""
+        for n, h in _runs(codes):
+            if n not in self.by or not len(h):
+                continue
+            values, which, sieve = self.by[n]
+            maybe = np.flatnonzero(sieve[h >> np.uint64(65 - len(sieve).bit_length())])
+            low, high = (np.searchsorted(values, h[maybe], side) for side in ("left", "right"))
+            count = high - low
+            entry = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            yield from zip(np.repeat(maybe, count).tolist(), which[entry].tolist())
+
+    def find(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """For each normal text, (item id, distance) of the items that occur in it within their budgets."""
+        begins = np.cumsum([0, *map(len, texts)])
+        near: dict[tuple[int, int], set[int]] = {}
+        places = list(self.hits(_codes("".join(texts))))
+        rows = (np.searchsorted(begins, [p for p, _ in places], "right") - 1).tolist()
+        for (place, piece), r in zip(places, rows):
+            i, at, n = self.parts[piece].tolist()
+            item, begin = self.items[i][1], place - int(begins[r])
+            if texts[r].startswith(item[at : at + n], begin):
+                near.setdefault((r, i), set()).add(begin - at)
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for (r, i), found in near.items():
+            distance = self.distance(texts[r], self.items[i][1], sorted(found))
+            if distance is not None:
+                out[r].append((self.items[i][0], distance))
+        return [sorted(x) for x in out]
+
+    def distance(self, text: str, item: str, begins: list[int]) -> int | None:
+        """The least distance of the item around the places where it may begin, if it is within the budget."""
+        errors = budget(len(item), self.share)
         best, reach = errors + 1, -1
         windows: list[list[int]] = []
-        for begin in sorted(set(begins)):
+        for begin in begins:
             low, high = max(0, begin - errors), begin + len(item) + errors
             if windows and low <= reach:
                 windows[-1][1] = high
@@ -103,18 +147,19 @@ def find(text: str, items: list[tuple[int, str]], machine, share: float = BUDGET
             best = min(best, nearest(item, text[low:high]))
             if not best:
                 break
-        if best <= errors:
-            out.append((key, best))
-    return sorted(out)
+        return best if best <= errors else None
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple[int, str]]]:
     """Distinct normal items in blocks of bounded size; items without a word are none."""
     rows = take(benchmark, item=item_id, text=text).where("item is not null").select("item", normal(F.col("text")).alias("text")).where("length(text) > 2").distinct()
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > MOST:
+        raise ValueError(f"a benchmark of {size} characters: match at most {MOST} at a time, one part after another")
     blocks: list[list[tuple[int, str]]] = []
     held = 0
     for r in rows.orderBy("item", "text").toLocalIterator():
-        if not blocks or held + len(r["text"]) > AUTOMATON:
+        if not blocks or held + len(r["text"]) > BLOCK:
             blocks.append([])
             held = 0
         blocks[-1].append((r["item"], r["text"]))
@@ -122,17 +167,18 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple[int
     return blocks
 
 
-def _search(sent, share: float):
-    token = uuid.uuid4().hex
-
-    @F.pandas_udf(KIND)
-    def search(texts: pd.Series) -> pd.Series:
-        if token not in _built:
-            while len(_built) >= KEPT:
-                _built.pop(next(iter(_built)))
-            _built[token] = _automaton(sent.value, share)
-        machine = _built[token]
-        return pd.Series([[{"item_id": i, "distance": d} for i, d in find(t, sent.value, machine, share)] for t in texts])
+def _search(sent):
+    @F.arrow_udf(KIND)
+    def search(column: pa.Array) -> pa.Array:
+        texts = column.to_pylist()
+        index, out, some, held = sent.value, [], [], 0
+        for k, t in enumerate(texts):
+            some.append(t)
+            held += len(t)
+            if held >= STEP or k == len(texts) - 1:
+                out += [[{"item_id": i, "distance": d} for i, d in x] for x in index.find(some)]
+                some, held = [], 0
+        return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())])))
 
     return search
 
@@ -143,8 +189,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     Documents and items are compared as lower-case words with single blanks, an item with a blank at both ends. An
     item of n characters may differ from some passage by up to n * share edits (rounded down). It is cut into one
     piece more than that, so one piece is in the passage unchanged; each hit is verified by the edit distance of the
-    whole item. The benchmark is met in blocks of about 1 MB of text, one broadcast each; the blocks' automata are
-    built once in each worker.
+    whole item. Pieces are met by the hash of their first 16, 8, 4 or 2 characters, then in full. The benchmark is sent to all tasks
+    as indexes of its pieces, one for each 16 MB of text; one of over 256 MB is an error, and can be met in parts.
 
     Null or wordless texts match nothing; null, wordless or null-id items match nothing; repeated items count once.
     """
@@ -153,9 +199,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     found = F.array().cast(KIND)
     clean = normal(F.col(text))
     for block in _items(benchmark, item_id, item_text):
-        sent = spark.sparkContext.broadcast(block)
-
-        found = F.concat(found, _search(sent, share)(clean))
+        found = F.concat(found, _search(spark.sparkContext.broadcast(Index(block, share)))(clean))
     return docs.withColumn(into, found)
 
 

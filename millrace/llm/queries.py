@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, langid, licenses, neardup, quality, sentences, shards, suffixes, vectors
-from .common import fold, table, take
+from .common import exploded, fold, table, take
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +20,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = take(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", F.explode("_matches").alias("m")).select("doc_id", "m.item_id", "m.distance")
+    return exploded(found, F.col("_matches"), "m").select("doc_id", "m.item_id", "m.distance")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = take(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
-    return licenses.licenses(docs).select("doc_id", F.explode("_licenses").alias("m")).select("doc_id", "m.license", "m.containment")
+    return exploded(licenses.licenses(docs), F.col("_licenses"), "m").select("doc_id", "m.license", "m.containment")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
