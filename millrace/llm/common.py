@@ -98,6 +98,13 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return stored(df, what)[0]
 
 
+def joined(rows: DataFrame, firsts: DataFrame, on: list[str], what: str) -> DataFrame:
+    """Rows with what an aggregate over the same keys says of them. The aggregate is written first: a join right after
+    it would be dealt as it is, and Spark could not split the rows of a hot key.
+    """
+    return rows.join(saved(firsts, what), on)
+
+
 def folders() -> list[str]:
     """What stored() has written and nobody has removed."""
     return list(_folders)

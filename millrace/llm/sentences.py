@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, flat, lists, mix, saved, take, tune
+from .common import GOLDEN, exploded, flat, give_back, joined, lists, mix, saved, spans, take, tune
 
 RUN = 3
 LEAST_WORDS = 10
@@ -21,6 +21,8 @@ WORD = r"(?<=\s)(?=\S)"
 #: same in both, and there is one in any NEAR places. So 4 * NEAR + PASSAGE - 2 words (46) always hold a passage that both have, and of
 #: more words at most 2 * NEAR - 2 at the beginning and 3 * NEAR - 1 at the end (12 and 20) lie outside of such passages.
 NEAR, PASSAGE = 7, 20
+#: Words whose runs are handed on together (a longer text stands alone).
+STEP = 200_000
 #: Repeated hashes are marked in so many bits (8 MB), so that only runs which may be repeated are sent on.
 MARKS = 26
 
@@ -41,24 +43,28 @@ def _key(text: str) -> Column:
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
     """Columns doc_id, key (a hash of the text), places: the pieces of the text (counted from 0) to remove.
 
-    Every run of ``run`` consecutive sentences of ``least_words`` words or more in all is hashed (96 bits) and counted
-    over all documents by partial sums. Of the places where a hash occurs, the first is that of the smallest doc_id
+    Every run of ``run`` consecutive sentences of ``least_words`` words or more in all is hashed (96 bits, from those of
+    its sentences) and counted over all documents by partial sums. Of the places where a hash occurs, the first is that of the smallest doc_id
     (null last), then text hash, then place in the text. All sentences of every other place are to be removed.
     A text of fewer sentences has no runs. Rows equal in doc_id and text are one document.
     """
     rows = take(docs, doc_id=doc_id, text=text).where("text is not null").withColumn("key", _key("text"))
     said = F.filter(F.transform(pieces(F.col("text")), lambda p, i: F.struct(i.alias("i"), plain(p).alias("s"))), lambda x: x["s"] != "")
-    rows = rows.select("doc_id", "key", said.alias("said"))
-    runs = rows.where(f"size(said) >= {run}").select("doc_id", "key", F.expr(f"""explode(
-        transform(sequence(0, size(said) - {run}), k -> named_struct(
-            'place', said[k].i, 'last', said[k + {run - 1}].i, 'run', array_join(transform(slice(said, k + 1, {run}), x -> x.s), '\n'))))
-    """).alias("r"))
-    runs = runs.where(F.size(F.split("r.run", "[ \n]")) >= least_words)
-    runs = runs.select("doc_id", "key", "r.place", "r.last", F.xxhash64("r.run").alias("h"), F.hash("r.run").alias("h2"))
-    runs = saved(runs, "runs")
+    # each sentence is hashed once; a run is known by the hashes of its sentences
+    blanks = lambda s: F.length(s) - F.length(F.translate(s, " ", ""))
+    hashed = F.transform(said, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["s"]).alias("a"), F.hash(x["s"]).alias("b"), (blanks(x["s"]) + 1).alias("n")))
+    rows = rows.select("doc_id", "key", hashed.alias("said"))
+    of = lambda part, between=", ": between.join(f"get(said, k + {j}).{part}" for j in range(run))
+    # no filter on the number of sentences: pushed down, it would split every text twice
+    found = F.expr(f"""filter(
+        transform(sequence(0, greatest(size(said) - {run}, 0)), k -> named_struct(
+            'place', get(said, k).i, 'last', get(said, k + {run - 1}).i, 'h', xxhash64({of("a")}), 'h2', hash({of("b")}), 'n', {of("n", " + ")})),
+        r -> r.last is not null and r.n >= {least_words})
+    """)
+    runs = saved(exploded(rows, found, "r").select("doc_id", "key", "r.place", "r.last", "r.h", "r.h2"), "runs")
     at = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key", "place")
     seen = runs.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1")
-    later = runs.join(seen, ["h", "h2"]).where(~F.col("first").eqNullSafe(at))
+    later = joined(runs, seen, ["h", "h2"], "firsts").where(~F.col("first").eqNullSafe(at))
     return later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("place", "last")).alias("ranges")).select(
         "doc_id", "key", F.expr("array_distinct(flatten(transform(ranges, r -> sequence(r.place, r.last))))").alias("places")
     )
@@ -77,8 +83,10 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int =
     met = rows.join(gone, F.col(at[doc_id]).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left")
     met = met.withColumn("_p", pieces(F.col(t)))
     kept = F.expr(f"if(places is null, {t}, array_join(transform(array_except(sequence(0, size(_p) - 1), places), i -> _p[i]), ''))")
-    whole = F.coalesce(F.size(F.filter("_p", lambda p: plain(p) != "")), F.lit(0))
-    gone_n = F.when(F.col("places").isNull(), 0).otherwise(F.size(F.filter("places", lambda i: plain(F.get("_p", i)) != "")))
+    # what is not blank has a letter or mark left when it is made plain
+    spoken = lambda p: p.rlike(r"\S")
+    whole = F.coalesce(F.size(F.filter("_p", spoken)), F.lit(0))
+    gone_n = F.when(F.col("places").isNull(), 0).otherwise(F.size(F.filter("places", lambda i: spoken(F.get("_p", i)))))
     cols = [kept if c == t else F.col(c) for c in rows.columns if c != "_h"]
     return met.select(*cols, F.when(F.col(t).isNull(), 0).otherwise(whole).cast("long"), gone_n.cast("long")).toDF(*docs.columns, "n_sentences", "n_removed")
 
@@ -129,26 +137,27 @@ def runs(h: np.ndarray, of: np.ndarray, run: int = RUN, least_words: int = LEAST
     return at[a].astype(np.int32), (at[b - 1] + 1).astype(np.int32), one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _runs_column(run: int, least_words: int):
-    @F.arrow_udf("array<struct<a:int,b:int,h:long,h2:int>>")
-    def found(column: pa.Array) -> pa.Array:
-        if column.null_count:
-            column = column.fill_null([])
-        ends = column.offsets.to_numpy().astype(np.int64)
-        inner = column.values.slice(ends[0], ends[-1] - ends[0])
-        words, at = lists(inner)
-        ends = ends - ends[0]
-        words = words.astype(np.int64, copy=False).view(np.uint64)
-        of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        texts = at[ends]
-        powers = _powers(int(np.diff(texts).max(initial=0)))
-        got = [runs(words[i:j], of[i:j], run, least_words, powers) for i, j in zip(texts[:-1], texts[1:])]
-        offsets = np.concatenate([[0], np.cumsum([len(g[0]) for g in got])]).astype(np.int32)
-        kinds = (np.int32, np.int32, np.int64, np.int32)
-        columns = [pa.array(np.concatenate([np.zeros(0, kind), *(g[k] for g in got)]).astype(kind)) for k, kind in enumerate(kinds)]
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, ["a", "b", "h", "h2"]))
-
-    return found
+def _found(run: int, least_words: int):
+    """Batches of doc_id, key and hashes (for each sentence, of each word) to the runs of each text."""
+
+    def work(batches):
+        for batch in batches:
+            column = batch.column("hashes")
+            ends = column.offsets.to_numpy().astype(np.int64)
+            words, at = lists(column.values.slice(ends[0], ends[-1] - ends[0]))
+            ends = ends - ends[0]
+            words = words.astype(np.int64, copy=False).view(np.uint64)
+            of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            texts = at[ends]
+            powers = _powers(int(np.diff(texts).max(initial=0)))
+            for begin, end in spans(texts, STEP):
+                got = [runs(words[i:j], of[i:j], run, least_words, powers) for i, j in zip(texts[begin:end], texts[begin + 1 : end + 1])]
+                whose = pa.array(np.repeat(np.arange(begin, end), [len(g[0]) for g in got]))
+                columns = [pa.array(np.concatenate([g[k] for g in got])) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(whose), batch.column("key").take(whose), *columns], ["doc_id", "key", "a", "b", "h", "h2"])
+        give_back()
+
+    return work
 
 
 def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -159,8 +168,9 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     tune(docs.sparkSession)
     rows = take(docs, doc_id=doc_id, text=text).where("text is not null").withColumn("key", _key("text"))
-    found = rows.select("doc_id", "key", _runs_column(run, least_words)(_hashes(F.col("text"))).alias("r"))
-    found = saved(found.select("doc_id", "key", F.explode("r").alias("r")).select("doc_id", "key", "r.a", "r.b", "r.h", "r.h2"), "runs")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    hashed = rows.select("doc_id", "key", _hashes(F.col("text")).alias("hashes"))
+    found = saved(hashed.mapInArrow(_found(run, least_words), f"doc_id {kind}, key long, a int, b int, h long, h2 int"), "runs")
     bucket, bit = F.expr(f"shiftright(h & {2**MARKS - 1}L, 15)"), F.expr("h & 32767L")
     marks = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(bucket.alias("bucket"), bit.alias("bit"))
     marks = marks.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("marks"))
@@ -169,7 +179,7 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = saved(found.select("doc_id", "key", "a", "b", "h", "h2"), "marked")
     at = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key", "a")
     seen = found.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1")
-    later = found.join(seen, ["h", "h2"]).where(~F.col("first").eqNullSafe(at))
+    later = joined(found, seen, ["h", "h2"], "firsts").where(~F.col("first").eqNullSafe(at))
     return later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("a", (F.col("b") - 1).alias("b"))).alias("ranges"))
 
 
