@@ -154,6 +154,8 @@ def random_value(t: Maybe, seed: int, depth: int = 3) -> Column:
     from ..plans.compile import build_sum, to_int
     from ..plans.types import INTEGERS, to_spark
 
+    if t.typ.kind == "this":
+        raise TypeError(f"no random value of {t}")
     d = develop(t.typ)
     r = lambda k: F.rand(seed * 31 + k)
     if d.kind in INTEGERS:

@@ -96,8 +96,10 @@ def text_of(t: Type) -> str:
             return f"({' -> '.join(it)})"
         case "ext":
             return f"${t.extra}"
-        case "usr" | "this":
+        case "usr":
             return str(t.extra)
+        case "this":
+            return str(t.extra[0] if isinstance(t.extra, tuple) else t.extra)
     return t.kind.upper()
 
 
@@ -110,6 +112,7 @@ class _Parser:
         self.tokens = [(m.group(), m.start()) for m in _TOKEN.finditer(text) if not m.group().isspace() and not m.group().startswith("//")]
         self.at = 0
         self.names: list[str] = []
+        self.named: dict[str, Maybe] = {}
 
     def peek(self, ahead: int = 0) -> str:
         return self.tokens[self.at + ahead][0] if self.at + ahead < len(self.tokens) else ""
@@ -132,7 +135,7 @@ class _Parser:
             if name in self.names:
                 raise SchemaError(f"{name} is defined twice")
             self.names.append(name)
-            got = self.maybe()
+            self.named[name] = got = self.maybe()
             return got
         if self.peek() == "&":
             self.next()
@@ -306,18 +309,45 @@ def parse(text: str) -> Maybe:
     out = p.maybe()
     if p.peek():
         raise SchemaError(f"{p.peek()!r} is left over in {text!r}")
-    return _no_parens(out)
+    names = {"THIS": _no_parens(out), **{n: _no_parens(m) for n, m in p.named.items()}}
+    for n, m in names.items():
+        if _recursive(names["THIS"]):
+            DEFINITIONS[n, text] = _tied(m, names, text)
+    return _tied(names["THIS"], names, text)
+
+
+#: What recursive types refer to, by name and the text that they stand in. Codecs carry it to where they work.
+DEFINITIONS: dict[tuple[str, str], Maybe] = {}
+
+
+def _recursive(m: Maybe) -> bool:
+    return m.typ.kind == "this" or m.typ.kind != "usr" and any(map(_recursive, m.typ.items))
+
+
+def _tied(m: Maybe, names: dict[str, Maybe], text: str) -> Maybe:
+    """References know the text in which their definition stands."""
+    t = m.typ
+    if t.kind == "this" and t.extra in names:
+        return replace(m, typ=replace(t, extra=(t.extra, text)))
+    return m if t.kind == "usr" else replace(m, typ=replace(t, items=tuple(_tied(x, names, text) for x in t.items)))
 
 
 def develop(t: Type) -> Type:
-    """The definition of a user type."""
-    while t.kind == "usr":
-        t = t.items[0].typ
+    """The definition of a user type, and what a recursive type refers to."""
+    while t.kind in ("usr", "this"):
+        if t.kind == "this":
+            if t.extra not in DEFINITIONS:
+                raise SchemaError(f"{t} refers to nothing")
+            t = DEFINITIONS[t.extra].typ
+        else:
+            t = t.items[0].typ
     return t
 
 
 def equal(a: Type, b: Type) -> bool:
     """Equality through definitions; the order of record fields doesn't count."""
+    if a.kind == b.kind == "this":
+        return a.extra == b.extra
     a, b = develop(a), develop(b)
     if (a.kind, a.extra, len(a.items)) != (b.kind, b.extra, len(b.items)):
         return False
@@ -340,8 +370,13 @@ def is_wide(t: Type) -> bool:
 
 
 def to_spark(m: Maybe | Type) -> S.DataType:
-    """The Spark type of a column that holds the values."""
-    t = develop(m.typ if isinstance(m, Maybe) else m)
+    """The Spark type of a column that holds the values. Where a type refers to itself, the value stands as JSON text
+    (parse_json makes a VARIANT of it).
+    """
+    t = m.typ if isinstance(m, Maybe) else m
+    if t.kind == "this":
+        return S.StringType()
+    t = develop(t)
     n = INTEGERS.get(t.kind)
     if n:
         if n == 128:
@@ -379,8 +414,6 @@ def to_spark(m: Maybe | Type) -> S.DataType:
             return S.StructType([S.StructField(n, to_spark(x), True) for n, x in zip(t.names, t.items)])
         case "sum":
             return S.StructType([S.StructField("tag", S.ShortType(), True), *[S.StructField(n, to_spark(x), True) for n, x in zip(t.names, t.items) if x.typ.kind != "void"]])
-        case "this":
-            raise SchemaError("a recursive type has no Spark type; keep its values as JSON text")
     raise SchemaError(f"no Spark type for {t}")
 
 

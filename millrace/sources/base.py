@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import wide
 from ..functions.numbers import in_range
-from ..plans.types import INTEGERS, Maybe, SchemaError, develop, parse, to_schema, to_spark
+from ..plans.types import DEFINITIONS, INTEGERS, Maybe, SchemaError, develop, parse, to_schema, to_spark
 
 
 class DecodeProblem(ValueError):
@@ -28,6 +28,11 @@ class Codec:
     def __init__(self, m: Maybe | str, **options):
         self.m = parse(m) if isinstance(m, str) else m
         self.options = options
+        self.definitions = dict(DEFINITIONS)
+
+    def __setstate__(self, state: dict) -> None:
+        DEFINITIONS.update(state["definitions"])
+        self.__dict__.update(state)
 
     def decode(self, data: bytes, at: int = 0) -> tuple[object, int]:
         """The value at a place, and where it ends."""
@@ -78,9 +83,11 @@ def codec(name: str, m: Maybe | str, **options) -> Codec:
 
 def to_row(value, m: Maybe):
     """A codec's value as Spark takes it."""
-    t = develop(m.typ)
     if value is None:
         return None
+    if m.typ.kind == "this":
+        return codec("json", m).encode(value).decode("utf-8", "surrogateescape")
+    t = develop(m.typ)
     if t.kind in INTEGERS:
         if INTEGERS[t.kind] == 128:
             return wide.pack(value, t.kind == "i128")
@@ -107,6 +114,8 @@ def to_row(value, m: Maybe):
 
 def from_row(value, m: Maybe):
     """What Spark gives as a codec's value."""
+    if m.typ.kind == "this":
+        return None if value is None else codec("json", m).one(value.encode("utf-8", "surrogateescape"))
     t = develop(m.typ)
     if value is None or isinstance(value, float) and value != value and t.kind != "float":
         return None

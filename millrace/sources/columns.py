@@ -57,6 +57,8 @@ def _alternatives(v: Column, t, write) -> Column:
 
 
 def _s_expr(v: Column, m: Maybe, made: Sexpr, inside: bool) -> Column:
+    if m.typ.kind == "this":
+        raise NoForm
     t = develop(m.typ)
     again = lambda x, k, deep=inside: _s_expr(x, k, made, deep)
     match t.kind:
@@ -75,7 +77,7 @@ def _s_expr(v: Column, m: Maybe, made: Sexpr, inside: bool) -> Column:
 
 def _csv(v: Column, m: Maybe, made: Csv, inside: bool) -> Column:
     t = develop(m.typ)
-    if made._joined(t):
+    if m.typ.kind == "this" or made._joined(t):
         raise NoForm
     again = lambda x, k, deep=inside: _csv(x, k, made, deep)
     sep, q = F.lit(made.sep), made.quote

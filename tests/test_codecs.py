@@ -4,6 +4,7 @@ import string
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.plans.types import SchemaError, parse
 from millrace.sources import DecodeProblem, codec
@@ -196,3 +197,34 @@ def test_integers_beyond_their_width_are_no_values(name, text):
 
     with pytest.raises(DecodeProblem):
         codec(name, "u8").one(text)
+
+
+TREE = "{v: u8; left: THIS?; right: THIS?; tag: [a | b THIS]}"
+
+
+@pytest.mark.parametrize("name", ["s-expr", "json", "csv", "row-binary", "ringbuf"])
+def test_recursive_types(spark, name):
+    from millrace.plans.types import equal, parse, to_spark
+    from millrace.sources import codec, decode_column, encode_column
+
+    m = parse(TREE)
+    leaf = {"v": 7, "left": None, "right": None, "tag": (0, None)}
+    value = {"v": 1, "left": {**leaf, "v": 2}, "right": {**leaf, "left": leaf}, "tag": (1, leaf)}
+    made = codec(name, m)
+    data = made.encode(value)
+    assert made.one(data) == value
+    assert str(m) == "{v: U8; left: THIS?; right: THIS?; tag: [a | b THIS]}" and equal(m.typ, parse(TREE).typ)
+    assert to_spark(m).simpleString() == "struct<v:smallint,left:string,right:string,tag:struct<tag:smallint,b:string>>"
+    rows = spark.createDataFrame([(data,)], "x binary").select(decode_column(F.col("x"), made).alias("v"))
+    got = rows.select("v.v", F.get_json_object("v.right", "$.left.v").alias("deep"), encode_column(F.col("v"), made).alias("x")).first()
+    assert (got.v, got.deep, bytes(got.x)) == (1, "7", data)
+
+
+def test_recursive_lists_and_names():
+    from millrace.plans.types import parse
+    from millrace.sources import codec
+
+    for text, value in (("[leaf string | branch THIS[]]", (1, [(0, "x"), (1, [])])), ("{head: node as [end | next node]; n: u8}", {"head": (1, (1, (0, None))), "n": 3})):
+        for name in ("s-expr", "json", "row-binary"):
+            made = codec(name, parse(text))
+            assert made.one(made.encode(value)) == value
