@@ -19,6 +19,8 @@ COSINE = 0.98
 #: Vectors in a shard (a graph), and queries in a block.
 SHARD, BLOCK = 16_384, 4_096
 LINKS, BUILD, BEAM = 12, 24, 32
+#: Tasks that share a shard's blocks of queries.
+GROUPS = 4
 #: Queries of each block that are compared with the whole shard, and the share of their links that must be found.
 AUDIT, RECALL = 32, 0.999
 #: Slack for float32 products; links are decided in double precision.
@@ -167,10 +169,23 @@ class Shard:
 
     def width(self, queries: np.ndarray) -> int:
         """The beam doubles until an audit of queries spread over the block finds the share RECALL of the links that a
-        comparison with the whole shard finds (or the beam is the whole shard)."""
+        comparison with the whole shard finds (or the beam is the whole shard). It begins with the shard's own beam."""
         audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
+        return self._audited(queries, audit, getattr(self.graph, "width", BEAM))
+
+    def own_width(self) -> int:
+        """The beam that an audit by vectors near to some of the shard's own takes: such queries always have links, so a
+        shard is audited even where few blocks have any."""
+        x = self.x[np.unique(np.linspace(0, len(self.x) - 1, min(AUDIT, len(self.x))).astype(int))] if len(self.x) else self.x
+        aside = np.random.default_rng(7).normal(size=x.shape)
+        aside -= (aside * x).sum(axis=1, keepdims=True) * x
+        size = np.linalg.norm(aside, axis=1, keepdims=True)
+        angle = 0.9 * math.acos(min(1.0, max(-1.0, self.least)))
+        near = np.where(size > 1e-9, math.cos(angle) * x + math.sin(angle) * aside / np.maximum(size, 1e-9), x)
+        return self._audited(near, np.arange(len(near)), BEAM)
+
+    def _audited(self, queries: np.ndarray, audit: np.ndarray, width: int) -> int:
         total = sum(int((self.x @ queries[k] >= self.least).sum()) for k in audit)
-        width = BEAM
         while width < len(self.x) and sum(int(linked.sum()) for _, _, linked in self.pairs(queries, audit, width)) < RECALL * total:
             width *= 2
         return width
@@ -247,22 +262,27 @@ def _graphs(least: float):
             made = []
             for n, c, u in zip(*(batch.column(x).to_pylist() for x in ("nodes", "copies", "units"))):
                 _, _, units = _unpacked(n, c, u)
-                made.append(pickle.dumps(Graph(units.astype(np.float32), least), protocol=5))
+                graph = Graph(units.astype(np.float32), least)
+                graph.width = Shard(graph, units, least).own_width()
+                made.append(pickle.dumps(graph, protocol=5))
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("label", "part", "nodes", "copies", "units")), pa.array(made, pa.binary())], ["label", "part", "nodes", "copies", "units", "graph"])
 
     return run
 
 
 def _compare(least: float):
+    """Rows by shard and group: first the shard with its graph, then blocks of queries, one in memory at a time."""
+
     def run(batches):
-        last, shard = None, None
+        shard = nodes = copies = None
         for batch in batches:
-            for label, part, n1, c1, u1, g, n2, u2 in zip(*(batch.column(c).to_pylist() for c in ("label", "part", "nodes", "copies", "units", "graph", "q_nodes", "q_units"))):
-                nodes, copies, units = _unpacked(n1, c1, u1)
-                asked = np.frombuffer(n2, np.int64)
-                queries = np.frombuffer(u2, np.float64).reshape(len(asked), -1)
-                if last != (label, part):
-                    last, shard = (label, part), Shard(pickle.loads(g), units, least)
+            for kind, n, c, u, g in zip(*(batch.column(x).to_pylist() for x in ("kind", "nodes", "copies", "units", "graph"))):
+                if kind == 0:
+                    nodes, copies, units = _unpacked(n, c, u)
+                    shard = Shard(pickle.loads(g), units, least)
+                    continue
+                asked = np.frombuffer(n, np.int64)
+                queries = np.frombuffer(u, np.float64).reshape(len(asked), -1)
                 n_links, a, b = block_links(shard, nodes, copies, asked, queries)
                 yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(n_links, pa.int64()), pa.array([None] * len(asked), pa.int64())], ["a", "n", "b"])
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([0] * len(a), pa.int64()), pa.array(b, pa.int64())], ["a", "n", "b"])
@@ -276,8 +296,9 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     Vectors of one label (all of them, when ``label`` is None) and one length are linked when their cosine, in double
     precision, is ``least`` or more. Equal vectors are one node with a count from the start. The nodes of a label are
     dealt into shards of about ``shard`` nodes by hash; one graph is built for each shard and met by blocks of queries
-    of its label: every node queries every shard. Found neighbours are verified; each block sends counts and a
-    spanning forest of its links.
+    of its label: every node queries every shard. A graph's beam is audited by vectors near to its own, then by some of
+    each block's, and widened until both find their links. Found neighbours are verified; each block sends counts and
+    a spanning forest of its links.
 
     Null, empty or zero vectors, vectors with null or non-finite components, vectors of a null label and of a null id
     link with nothing. Rows of one id and one vector are links of each other like any two rows.
@@ -300,10 +321,15 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     kind = "label string, part long, nodes binary, copies binary, units binary"
     shards = saved(dealt.select("label", "part", "node", "copies", "unit").groupBy("label", "part").applyInArrow(_blocks("part"), kind), "shards")
     asks = saved(dealt.select("label", "block", "node", "copies", "unit").groupBy("label", "block").applyInArrow(_blocks("block"), kind), "queries")
-    asks = asks.select("label", F.col("nodes").alias("q_nodes"), F.col("units").alias("q_units"), F.col("part").alias("q"))
+    asks = asks.select("label", F.col("nodes").alias("q_nodes"), F.col("units").alias("q_units"), F.pmod("part", F.lit(GROUPS)).alias("g"))
     with batches_of(spark, 1):  # a row is now a whole shard or block
         graphs = saved(shards.repartition("label", "part").mapInArrow(_graphs(least), kind + ", graph binary"), "graphs")
-        met = graphs.join(asks, "label").repartition("label", "part", "q")
+        # a shard goes to GROUPS tasks at most, whatever its label's size; blocks of queries are what travels
+        groups, parts, none = asks.select("label", "g").distinct(), graphs.select("label", "part"), F.lit(None).cast("binary")
+        to = ["label", "part", "g", "kind"]
+        held = graphs.join(groups, "label").withColumn("kind", F.lit(0)).select(*to, "nodes", "copies", "units", "graph")
+        asked = asks.join(parts, "label").withColumn("kind", F.lit(1)).select(*to, F.col("q_nodes").alias("nodes"), none.alias("copies"), F.col("q_units").alias("units"), none.alias("graph"))
+        met = held.union(asked).repartition(*to[:3]).sortWithinPartitions(*to)
         found = saved(met.mapInArrow(_compare(least), "a long, n long, b long"), "found")
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     reach = saved(components(found.where("b is not null").select("a", "b")), "classes")
