@@ -340,3 +340,32 @@ def q_wire_texts(spark, sf):
     return table(spark, sf, "nation").select(
         "n_nationkey", text_of(pair, "json", "(i32; i32)").alias("as_json"), text_of(both, "s-expr", "i32[2]").alias("as_s_expr"), text_of(pair, "csv", "(i32; i32)", sep="|").alias("as_csv"), text_of(both, "s-expr", "i32[]").alias("counted"), text_of(F.nullif("n_regionkey", F.lit(0)), "s-expr", "i32?").alias("nullable"),
     )
+
+
+@query("SELECT n_nationkey, true AS float_in, true AS u8_in, true AS u32_in, true AS u64_in, CAST(16 AS INTEGER) AS u128_bytes, true AS later, true AS stable, true AS told_apart FROM nation")
+def q_random_ranges(spark, sf):
+    """What random numbers, the time and hashes keep to, whatever they are."""
+    e = lambda t: ev(t, k=("n_nationkey", "i32"))
+    nations = table(spark, sf, "nation")
+    drawn = nations.select("n_nationkey", e("(random-float)").alias("f"), e("(random-u8)").alias("a"), e("(random-u32)").alias("b"), e("(random-u64)").alias("c"), e("(random-u128)").alias("d"), e("(now)").alias("t"), e("(hash k)").alias("h"), e("(hash k)").alias("h2"), e("(hash (add k (i32 1)))").alias("other"))
+    return drawn.select(
+        "n_nationkey", F.expr("f >= 0 and f < 1").alias("float_in"), F.expr("a between 0 and 255").alias("u8_in"), F.expr("b between 0 and 4294967295").alias("u32_in"), F.expr("c between 0 and 18446744073709551615").alias("u64_in"), F.octet_length("d").alias("u128_bytes"), F.expr("t > 1700000000").alias("later"),
+        F.expr("h = h2").alias("stable"), F.expr("h <> other").alias("told_apart"),
+    )
+
+
+@query("""
+SELECT n_nationkey, n_nationkey AS same, CAST(n_nationkey AS BIGINT) AS number, n_name <> '' AS truth, '0x1p+' || n_nationkey AS hexed, CAST(ascii(n_name) AS SMALLINT) AS code, chr(CAST(65 + n_nationkey % 26 AS INTEGER)) AS letter, substr(n_name, 1, 1) AS first, CASE WHEN n_regionkey > 1 THEN 1 ELSE 0 END AS of_bool, [n_nationkey] AS alone,
+ substr(n_name, 1, 2) AS letters, CASE WHEN n_regionkey > 1 THEN 'true' ELSE 'false' END AS bool_text, '10.0.0.' || n_nationkey AS ip, '10.0.0.' || n_nationkey || '/24' AS cidr, [CAST(n_nationkey AS BIGINT), CAST(n_regionkey AS BIGINT)] AS items, CAST(n_nationkey AS BIGINT) AS left_part, CAST(n_regionkey AS DOUBLE) AS right_part,
+ [n_nationkey, n_regionkey] AS of_tuple, CAST(n_nationkey AS BIGINT) AS by_name, CASE WHEN n_regionkey = 0 THEN 'NULL' ELSE CAST(n_regionkey AS VARCHAR) END AS null_text, n_regionkey AS forced, CAST(n_nationkey AS DOUBLE) AS user_type FROM nation""")
+def q_convert_more(spark, sf):
+    nations = table(spark, sf, "nation").withColumn("ip", (F.lit(0x0A000000) + F.col("n_nationkey")).cast("long"))
+    e = lambda t: ev(t, n=("n_nationkey", "i32"), r=("n_regionkey", "i32"), s=("n_name", "string"), ip=("ip", "u32"), z=(F.nullif("n_regionkey", F.lit(0)), "i32?"), some=("n_regionkey", "i32?"))
+    two, chars = "(unsafe-pow (float 2.0) (to-float n))", "(make-vec (force (nth (u8 0) s)) (force (nth (u8 1) s)))"
+    pair = '(convert "(i64; float)" (make-tup n r))'
+    return nations.select(
+        "n_nationkey", e('(convert "i32" n)').alias("same"), e('(force (convert "i64?" (string-of-int n)))').alias("number"), e('(convert "bool" s)').alias("truth"), e(f'(convert "string" {two})').alias("hexed"), e('(convert "u8" (force (nth (u8 0) s)))').alias("code"), e('(convert "char" (add (u8 65) (to-u8 (unsafe-rem n (i32 26)))))').alias("letter"),
+        e('(force (convert "char?" s))').alias("first"), e('(convert "i32" (gt r (i32 1)))').alias("of_bool"), e('(convert "i32[1]" n)').alias("alone"), e(f'(convert "string" {chars})').alias("letters"), e('(convert "string" (gt r (i32 1)))').alias("bool_text"), e('(convert "string" (make-usr "Ip4" ip))').alias("ip"),
+        e('(convert "string" (make-usr "Cidr4" ip (u8 24)))').alias("cidr"), e('(convert "i64[]" (make-vec n r))').alias("items"), e(f"(fst {pair})").alias("left_part"), e(f"(snd {pair})").alias("right_part"), e('(convert "i32[2]" (make-tup n r))').alias("of_tuple"), e('(get-field "b" (convert "{b: i64; a: string}" (make-rec a s b n)))').alias("by_name"),
+        e('(convert "string" z)').alias("null_text"), e('(convert "i32" some)').alias("forced"), e('(convert "Date" (to-float n))').alias("user_type"),
+    )
