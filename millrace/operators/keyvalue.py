@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..plans.types import Maybe, parse, to_spark
 from ..sources.base import codec, decode_column, encode_column
+from . import accumulators
 
 
 def split(spark: SparkSession, path: str, key_value: str = "\n", entries: str = "\n") -> DataFrame:
     """Raw columns key, value, place (the order of the entries in a file) of a dump.
 
     With two different delimiters, an entry is a key, the first delimiter and a value. With the same for both, keys
-    and values take turns; the file is then one piece, as turns cannot be told from the middle.
+    and values take turns: the lines are numbered over the parts of a file, so that each knows its turn.
     """
     if key_value != entries:
         rows = spark.read.option("lineSep", entries).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
@@ -21,9 +22,13 @@ def split(spark: SparkSession, path: str, key_value: str = "\n", entries: str =
         parts = F.split_part("value", F.lit(key_value), F.lit(1))
         rest = F.substring("value", F.length(parts) + F.lit(len(key_value) + 1), F.length("value"))
         return rows.select(parts.alias("key"), rest.alias("value"), "place")
-    whole = spark.read.text(path, wholetext=True).select(F.split("value", F.lit("\\Q" + entries + "\\E")).alias("p"), F.col("_metadata.file_path").alias("file"))
-    pairs = whole.select("file", F.posexplode(F.expr("transform(sequence(0, size(p) div 2), i -> struct(get(p, cast(2 * i as int)) as key, get(p, cast(2 * i + 1 as int)) as value))")).alias("n", "e"))
-    return pairs.where("e.value is not null").select("e.key", "e.value", F.struct("file", F.lit(0).cast("long").alias("block"), F.col("n").cast("long")).alias("place"))
+    lines = spark.read.option("lineSep", entries).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    turns = accumulators.numbered(lines, ["file", "block", "id"], "n")
+    first = turns.groupBy("file").agg(F.min("n").alias("n0"))
+    turns = turns.join(first, "file").withColumn("turn", F.col("n") - F.col("n0"))
+    said = lambda odd: F.max(F.when(F.col("turn") % 2 == odd, F.col("value")))
+    pairs = turns.groupBy("file", F.floor(F.col("turn") / 2).cast("long").alias("pair")).agg(said(0).alias("key"), said(1).alias("value"))
+    return pairs.where("value is not null").select("key", "value", F.struct("file", F.lit(0).cast("long").alias("block"), F.col("pair").alias("n")).alias("place"))
 
 
 def last_wins(df: DataFrame, key: str, order, *values: str) -> DataFrame:

@@ -214,3 +214,15 @@ def test_convert_to_char_and_maps(spark):
 
     assert spark.range(1).select(evaluate('(convert "char?" "xyz")'), evaluate('(convert "char?" "")')).first()[:] == ("x", None)
     assert to_spark(parse("globals_map")).simpleString() == "map<string,string>"
+
+
+def test_turns_over_the_parts_of_files(spark, tmp_path):
+    for f in range(2):
+        (tmp_path / f"{f}.txt").write_text("".join(f"{k % 7 + 10 * f}\n\"v{k}\"\n" for k in range(300)) + "99\n" * f)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        got = keyvalue.load(spark, str(tmp_path), "u32", "string")
+        assert sorted(map(tuple, got.collect())) == sorted((k % 7 + 10 * f, f"v{k}") for f in range(2) for k in range(293, 300))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
