@@ -14,8 +14,10 @@ SHARDS = 8
 TOLERANCE = 0.01
 #: Probes between two refinements: each pass counts the bytes below 2**BITS boundaries of an interval.
 BITS = 13
-#: Bytes of an order range that the rows are exchanged into, and the most ranges of a shard.
-RANGE, RANGES = 32_000_000, 64
+#: Bytes of an order range that the rows are exchanged into, about.
+RANGE = 8_000_000
+#: Ranges that a group of equal texts divides, as a broadcast may hold them (16 bytes each).
+HEAVY = 500_000
 
 
 @dataclass(frozen=True)
@@ -114,10 +116,12 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     boundary that keeps it whole would lie more than the tolerance from its target (then it is divided by doc_id, as
     a group larger than a shard must be). slot counts the rows of a shard from 0 in that order.
 
-    Sizes and keys are written once; each counting pass reads only them. Then the rows are exchanged once, into
-    parts of about 32 MB (at most 64 a shard), in which they are sorted and numbered; exact row counts
-    below the splitters, known from the passes, make the numbers those of the shard. Rows equal in text and doc_id
-    stay in one part, in no stated order. Null texts and null ids are values like others. No rows give no rows.
+    Sizes and keys are written once; each counting pass reads only them. Then the rows are exchanged once, by ranges
+    of equal width on the axis of h1, as many as there are pieces of 8 MB in the table: hashes spread evenly, so a range is
+    too large only where a group of equal texts lies in it, and is then divided by h1 and by ranges of h2. Rows
+    are numbered within their range; the ranges' exact row counts before them in the shard, summed from the keys,
+    make the numbers those of the shard. No range, hot text or not, holds much more than 16 MB, however large the table. Rows equal in text and doc_id
+    have no stated order. Null texts and null ids are values like others. No rows give no rows.
     """
     rows, at = flat(docs)
     t = F.col(at[text])
@@ -127,30 +131,39 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     k1, k2 = order_key(F.col("t"), F.col("i"))
     slim = saved(keys.select(k1.alias("h1"), k2.alias("h2"), (F.coalesce(F.octet_length("t"), F.lit(0)).cast("long") + 1).alias("size")), "keys")
     total = slim.agg(F.sum("size")).first()[0] or 0
-    # ends of shards to the tolerance; ends of the ranges within them wherever a boundary is cheap
-    ranges = min(RANGES, max(1, -(-total // (shards * RANGE))))
-    parts = shards * ranges
-    found = splitters(slim, [(total * k / parts, (0.5 if k % ranges else tolerance * ranges) * total / parts) for k in range(1, parts)]) if total else []
-    main = [found[k - 1] for k in range(ranges, parts, ranges)] if found else []
-    bounds = sorted({(s.rows, s.h1, s.h2 if s.h2 is not None else -(2**63) - 1): s for s in found}.items())
-    bounds = [s for _, s in bounds]
-    first = [0, *(s.rows for s in main)] if main else [0] * shards
-    rows = rows.withColumn("h1", h1).withColumn("h2", h2)
-    rows = rows.withColumn("part", _locate(bounds, F.col("h1"), F.col("h2"), 0))
-    start = F.element_at(F.lit([0] + [s.rows for s in bounds]), F.col("part") + 1)
-    number = F.row_number().over(Window.partitionBy("part").orderBy("h1", "h2")) - 1
-    rows = rows.repartition(len(bounds) + 1, "part").withColumn("n", number + start)
-    where = F.lit(0)
-    for s in main:
-        where = where + F.when(below(s, F.col("h1"), F.col("h2")), 0).otherwise(1)
-    rows = rows.withColumn("shard", where.cast("int"))
-    rows = rows.withColumn("slot", (F.col("n") - F.element_at(F.lit(first), F.col("shard") + 1)).cast("long"))
-    return rows.drop("h1", "h2", "part", "n").select(*[c for c in rows.columns if c[0] == "c" and c[1:].isdigit()], "size", "shard", "slot").toDF(*docs.columns, "size", "shard", "slot")
-
-
-def _locate(bounds: list[Splitter], h1: Column, h2: Column, base: int) -> Column:
-    """The number of splitters at or before a row, by halving: an expression of depth log n."""
-    if not bounds:
-        return F.lit(base)
-    mid = len(bounds) // 2
-    return F.when(below(bounds[mid], h1, h2), _locate(bounds[:mid], h1, h2, base)).otherwise(_locate(bounds[mid + 1 :], h1, h2, base + mid + 1))
+    ends = splitters(slim, [(total * k / shards, tolerance * total / shards) for k in range(1, shards)]) if total else []
+    bits = max(0, (-(-total // RANGE) - 1).bit_length())
+    heavy = _heavy(slim, bits)
+    place = ["shard", "part", "k1", "k2"]
+    ranges = _ranged(slim, ends, bits, heavy).groupBy(*place).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("part", "k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = saved(ranges.select(*place, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "ranges")
+    met = _ranged(rows.withColumn("h1", h1).withColumn("h2", h2), ends, bits, heavy).join(ranges, place)
+    number = F.row_number().over(Window.partitionBy(*place).orderBy("h1", "h2")) - 1
+    named = [c for c in rows.columns if c != "size"]
+    return met.select(*named, "size", "shard", (number + F.col("start")).cast("long").alias("slot")).toDF(*docs.columns, "size", "shard", "slot")
+
+
+def _bits(key: Column, n: int | Column) -> Column:
+    """The first ``n`` bits of a signed key, in the order of keys."""
+    flipped = key.bitwiseXOR(F.lit(-(2**63)))
+    if isinstance(n, int):
+        return F.shiftrightunsigned(flipped, 64 - n) if n else F.lit(0).cast("long")
+    return F.when(n == 0, F.lit(0)).otherwise(F.call_function("shiftrightunsigned", flipped, F.lit(64) - n))
+
+
+def _heavy(slim: DataFrame, bits: int) -> DataFrame:
+    """Ranges of far more than their share of bytes: part, and how many bits of h2 divide a text's rows there."""
+    found = slim.groupBy(_bits(F.col("h1"), bits).alias("part")).agg(F.sum("size").alias("size")).where(F.col("size") > 2 * RANGE)
+    found = saved(found.select("part", F.ceil(F.log2(F.col("size") / RANGE)).cast("int").alias("deep")), "heavy")
+    return F.broadcast(found) if found.count() <= HEAVY else found
+
+
+def _ranged(rows: DataFrame, ends: list[Splitter], bits: int, heavy: DataFrame) -> DataFrame:
+    """Rows with their shard and range: part, and in heavy parts k1 (the text) and k2; they order as (h1, h2) do."""
+    shard = F.lit(0)
+    for s in ends:
+        shard = shard + F.when(below(s, F.col("h1"), F.col("h2")), 0).otherwise(1)
+    met = rows.withColumn("shard", shard.cast("int")).withColumn("part", _bits(F.col("h1"), bits)).join(heavy, "part", "left")
+    met = met.withColumn("k1", F.when(F.col("deep").isNull(), F.lit(0)).otherwise(F.col("h1")))
+    return met.withColumn("k2", F.when(F.col("deep").isNull(), F.lit(0)).otherwise(_bits(F.col("h2"), F.col("deep")))).drop("deep")
