@@ -71,6 +71,8 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Files of a stored table for each core of the cluster, at most.
+FILES = 4
 #: Folders written by stored() that are still there.
 _folders: list[str] = []
 
@@ -83,14 +85,16 @@ def _path(spark: SparkSession, folder: str):
 def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors. Also the folder.
 
-    It goes when the driver ends, or earlier by ``forget``.
+    It goes when the driver ends, or earlier by ``forget``. Partitions beyond some for each core are written together,
+    one after another in a task: files stay few, of which each costs a shared store (and a local one, that starts a
+    process to set its permissions) some calls.
     """
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     files, path = _path(spark, folder)
     files.deleteOnExit(path)
     _folders.append(folder)
-    df.write.parquet(folder)
+    df.coalesce(FILES * max(1, spark.sparkContext.defaultParallelism)).write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder), folder
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import forget, stored
 
 
+#: Edges from which on a round writes its minima. The rows are the same with fewer; only a hot node takes longer.
+MANY = 500_000
+
+
 def _sum(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
     return r[0], r[1]
@@ -27,16 +31,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
+        written: list[str] = []
+
+        def held(minima: DataFrame) -> DataFrame:
+            """Minima that a join of many edges meets are written first: else Spark cannot split a hot node's."""
+            if before[0] < MANY:
+                return minima
+            minima, made = stored(minima, "minima")
+            written.append(made)
+            return minima
+
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = held(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = held(large.groupBy("u").agg(F.min("v").alias("m")))
         tied = large.join(least, "u")
         small = tied.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         older = folder
         e, folder = stored(small.where("u != v").distinct(), "edges")
         after = _sum(e)
-        forget(e.sparkSession, [older])
+        forget(e.sparkSession, [older, *written])
         if after == before:
             break
         before = after

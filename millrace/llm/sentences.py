@@ -16,6 +16,7 @@ BREAK = r"(?<=[.!?…。]\s)|(?<=\n)"
 
 #: A word keeps the blanks after it. Words joined give the text again.
 WORD = r"(?<=\s)(?=\S)"
+BLANKS = " \t\n\x0b\f\r"
 #: A boundary is the last least hash of two words in some NEAR consecutive places; a passage runs from a boundary to the next one
 #: PASSAGE words or more away. In n words that two documents share, the boundaries from word NEAR - 1 to word n - 1 - NEAR are the
 #: same in both, and there is one in any NEAR places. So 4 * NEAR + PASSAGE - 2 words (46) always hold a passage that both have, and of
@@ -93,7 +94,7 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int =
 
 def _hashes(text: Column) -> Column:
     """For each sentence, a hash of each word in lower case without blanks; 0 where nothing is left."""
-    bare = lambda w: F.regexp_replace(w, r"\s+", "")
+    bare = lambda w: F.rtrim(w, F.lit(BLANKS))  # noqa: E731  a word has blanks after it only, or is nothing else
     word = lambda w: F.when(bare(w) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(bare(w)))
     return F.transform(pieces(F.lower(text)), lambda p: F.transform(F.split(p, WORD), word))
 
