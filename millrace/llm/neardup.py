@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, bags, flat, lists, mix, saved, shingles, spans, take, text_key, tune, word_hashes
+from .common import GOLDEN, bags, flat, joined, lists, mix, saved, shingles, spans, take, text_key, tune, word_hashes
 from .components import components
 
 BANDS, ROWS = 40, 6
@@ -16,10 +16,12 @@ SLOTS = BANDS * ROWS
 SIMILAR = 0.8
 #: Up to this many members, a bucket emits all its pairs: at most SMALL - 1 for each member.
 SMALL = 12
-#: An estimate from SLOTS slots lies this far below the truth with a probability of 3e-5 (four deviations at 0.8).
-SLACK = 0.1
+#: An estimate from SLOTS slots lies this far below the truth with a probability of 3e-9 (5.8 deviations at 0.8).
+SLACK = 0.15
 #: Members of a block of a large bucket: two blocks meet in one task.
 BLOCK = 1024
+#: Words that one numpy step handles (a longer text stands alone), and points of the processes.
+STEP, POINTS = 200_000, 150_000
 #: Text keys that a broadcast may hold (8 MB of keys).
 KEYS = 500_000
 
@@ -52,7 +54,7 @@ def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: i
         limit, owner = weight[who], row[who]
         time, step = np.zeros(len(who), np.int64), 0
         while len(owner):
-            many = int(min(64, max(1, 400_000 // len(owner))))
+            many = int(min(64, max(1, POINTS // len(owner))))
             state = mix(seed[:, None] + np.arange(step + 1, step + many + 1, dtype=np.uint64) * GOLDEN)
             step += many
             wait = -np.log(((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width[:, None]
@@ -87,7 +89,7 @@ def _sign(batches):
     for batch in batches:
         values, offsets = lists(batch.column("hashes"))
         keys = batch.column("th")
-        for begin, end in spans(offsets, 1_000_000):
+        for begin, end in spans(offsets, STEP):
             cut = offsets[begin : end + 1]
             h, row = shingles(values[cut[0] : cut[-1]], cut - cut[0])
             size = np.bincount(row, minlength=end - begin)
@@ -115,7 +117,7 @@ def _shingled(batches):
     for batch in batches:
         values, offsets = lists(batch.column("hashes"))
         keys = batch.column("th")
-        for begin, end in spans(offsets, 1_000_000):
+        for begin, end in spans(offsets, STEP):
             cut = offsets[begin : end + 1]
             h, row = shingles(values[cut[0] : cut[-1]], cut - cut[0])
             ends = np.searchsorted(row, np.arange(end - begin + 1))
@@ -144,8 +146,8 @@ def _verify(similar: float):
 def _cross(similar: float):
     """Links between members of different classes in one pair of blocks of a bucket, as a spanning forest.
 
-    Pairs are told apart by their signatures first; a pair is met in the first band that it shares. Pairs that the
-    links found here have joined already are not verified again.
+    Pairs are told apart by their signatures first; a pair is met in the first band whose key (64 bits, as the buckets
+    have it) it shares. Pairs that the links found here have joined already are not verified again.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -155,6 +157,7 @@ def _cross(similar: float):
         number = {c: k for k, c in enumerate(dict.fromkeys(of))}
         code = np.array([number[c] for c in of])
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
+        keys = lists(table.column("bands"))[0].reshape(-1, BANDS)
         size = table.column("size").to_numpy()
         bags_of = table.column("bag")
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -173,11 +176,9 @@ def _cross(similar: float):
             others = others[fit]
             if not len(others):
                 continue
-            same = sig[others] == sig[x]
-            near = same.mean(axis=1) >= similar - SLACK
-            shared = same[near].reshape(-1, BANDS, ROWS).all(axis=2)
+            near = others[(sig[others] == sig[x]).mean(axis=1) >= similar - SLACK]
             mine = None
-            for y in others[near][shared.argmax(axis=1) == band]:
+            for y in near[(keys[near] == keys[x]).argmax(axis=1) == band]:
                 p, q = root(code[x]), root(code[y])
                 if p == q:
                     continue
@@ -192,7 +193,7 @@ def _cross(similar: float):
     return run
 
 
-def _between(large: DataFrame, classes: DataFrame, sigs: DataFrame, texts: DataFrame, similar: float) -> DataFrame | None:
+def _between(large: DataFrame, classes: DataFrame, signed: DataFrame, texts: DataFrame, similar: float) -> DataFrame | None:
     """Links between the classes that large buckets still hold, or None where none holds two.
 
     A bucket of n members is cut into blocks of about 1024 by hash, and each pair of blocks is one group: a member
@@ -200,14 +201,14 @@ def _between(large: DataFrame, classes: DataFrame, sigs: DataFrame, texts: DataF
     """
     named = large.join(classes.withColumnRenamed("node", "th"), "th", "left").withColumn("c", F.coalesce("component", "th")).drop("component")
     split = named.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 != c1")
-    met = saved(named.join(split.select("band", "key", "m"), ["band", "key"]), "open")
+    met = saved(joined(named, split.select("band", "key", "m"), ["band", "key"], "split"), "open")
     if met.isEmpty():
         return None
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     met = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", "th", "c", "size", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     needed = met.select("th").distinct()
-    kept = _bags(texts, needed).join(sigs, "th")
+    kept = _bags(texts, needed).join(signed.select("th", "sig", "bands"), "th")
     groups = met.join(saved(kept, "bags"), "th").groupBy("band", "key", "i", "j")
     return saved(groups.applyInArrow(_cross(similar), "a binary, b binary"), "links")
 
@@ -246,8 +247,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A bucket of up to 12 texts gives all its pairs. A larger one gives a star around its smallest text; where
     its members are then still in several classes, its members meet in blocks and every pair between classes is told
-    by signatures and, if near, verified: each true link in a bucket is tested or lies within a class already. 40 bands of 6 rows miss a pair of similarity
-    0.8 with a probability of 5e-6; candidates are verified exactly.
+    by signatures and, if near, verified: a true link in a bucket is tested or lies within a class already. Two things
+    lose a link of similarity 0.8, and fewer above: 40 bands of 6 rows share none with a probability of 5e-6, and the
+    estimate of 240 slots falls below 0.65 with one of 3e-9. What is left is verified exactly.
 
     Null texts link with nothing, each its own class. Texts without a word link only when equal. Texts of one to four
     words have one shingle. Rows equal in doc_id and text share their result. An empty table gives no rows.
@@ -262,7 +264,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     banded = signed.select("th", "size", F.posexplode("bands").alias("band", "key"))
     seen = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("th").alias("center")).where("n > 1")
-    members = saved(banded.join(seen, ["band", "key"]), "members")
+    members = saved(joined(banded, seen, ["band", "key"], "buckets"), "members")
     small = members.where(f"n <= {SMALL}")
     other = small.select("band", "key", F.col("th").alias("b"), F.col("size").alias("size2"))
     paired = small.join(other, ["band", "key"]).where(F.col("th") < F.col("b")).where(_fits("size", "size2", similar)).select(F.col("th").alias("a"), "b")
@@ -272,14 +274,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = saved(components(links), "classes")
 
     large = members.where(f"n > {SMALL}").select("band", "key", "th", "size")
-    more = _between(large, classes, sigs, texts, similar)
-    if more is not None:
-        classes = saved(components(links.union(more)), "classes")
+    more = _between(large, classes, signed, texts, similar)
+    if more is not None:  # a class is known by its star already
+        stars = classes.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        classes = saved(components(stars.union(more)), "classes")
 
     named = slim.join(classes.withColumnRenamed("node", "th"), "th", "left").withColumn("c", F.coalesce("component", "th")).drop("component")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
     of = named.where("c is not null").groupBy("c", "th").agg(F.min(order).alias("m")).groupBy("c").agg(F.min("m").alias("m"), F.count("*").alias("n_texts"))
-    out = named.join(of, "c", "left")
+    out = named.join(saved(of, "heads"), "c", "left")  # written, so that the join of a large class can be split
     alone = F.col("c").isNull()
     return out.select(
         "doc_id",
