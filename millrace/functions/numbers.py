@@ -111,7 +111,7 @@ def sub(a: Column, b: Column, kind: str) -> Column:
 
 
 def mul(a: Column, b: Column, kind: str) -> Column:
-    if INTEGERS[kind] <= 24:
+    if INTEGERS[kind] <= 24 or kind == "i32":  # the product is a long
         return wrap(a.cast("long") * b.cast("long"), kind, False)
     return of_bits(_mul64(to_bits(a, kind), to_bits(b, kind)), kind)
 
